@@ -203,8 +203,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chu
     kind = rows.schema["_key"].dataType.simpleString()
     limit = F.lit(chunk_chars + overlap_chars)
     is_long = F.coalesce(F.char_length("_text") > limit, F.lit(False))
-    short = rows.withColumn("_text", F.when(~is_long, F.col("_text"))).filter(~is_long)
-    plain = short.mapInArrow(_short_encoder(vocabulary), f"_key {kind}, ids array<int>")
+    plain = rows.filter(~is_long).mapInArrow(_short_encoder(vocabulary), f"_key {kind}, ids array<int>")
     cut = rows.filter(is_long).mapInArrow(_chunker(chunk_chars, overlap_chars), f"_key {kind}, chunk int, start bigint, core bigint, last boolean, body string")
     parts = cut.repartition(2 * default_parallelism(df.sparkSession), "_key", "chunk").mapInArrow(
         _chunk_encoder(vocabulary), f"_key {kind}, chunk int, ids array<int>, head array<struct<place:bigint,before:int>>, tail array<struct<place:bigint,before:int>>"
