@@ -3,13 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.ids import accession
+from ..operators.table_diff import pair_rows
+from ..plans.copies import acc_sql
 from ..session import table
 from .components import connected_components
+from .neighbours import file_neighbours, mutual
+from .overlap import cross_split_pairs
 from .tokens import encode
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "protein_embeddings").select("vec_id", "embedding_file", "embedding")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = mutual(file_neighbours(_vectors(spark, sf_dir)))
+    return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
+P2_SQL = """WITH v AS (SELECT vec_id, '/' || embedding_file AS p, embedding AS e FROM protein_embeddings WHERE embedding IS NOT NULL AND embedding_file IS NOT NULL),
+w AS (SELECT vec_id, e, regexp_replace(regexp_replace(regexp_replace(p, '/(\\./)+', '/', 'g'), '/+', '/', 'g'), '[^/]+/\\.\\./', '', 'g') AS file FROM v),
+l AS (SELECT file, len(e) AS n, count(*) AS c FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, n DESC) = 1),
+u AS (SELECT vec_id, w.file, CAST(e AS DOUBLE[]) AS e FROM w JOIN l ON w.file = l.file AND len(w.e) = l.n
+      WHERE len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 9) AS sim FROM u a JOIN u b ON a.file = b.file AND a.vec_id <> b.vec_id),
+t AS (SELECT i, j FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 10)
+SELECT a.i AS vec_id_a, a.j AS vec_id_b FROM t a JOIN t b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j"""
+
+
+def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pair_rows(table(spark, sf_dir, "merged_protein_similarity"), "pair_id", "fident", "split", "source")
+    return cross_split_pairs(rows)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cross(spark, sf_dir).select(F.least("eval_id", "train_id").alias("pair_id_a"), F.greatest("eval_id", "train_id").alias("pair_id_b"))
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation rows that are in the training split too, and the training rows they meet, per split and source."""
+    seen = _cross(spark, sf_dir).groupBy("eval_split", "eval_source", "eval_id").agg(F.count("*").alias("n"))
+    return seen.groupBy(F.col("eval_split").alias("split"), F.col("eval_source").alias("source")).agg(F.count("*").alias("eval_rows"), F.sum("n").alias("row_pairs"))
+
+
+_P3 = f"""WITH r AS (SELECT pair_id, least(q, t) AS a, greatest(q, t) AS b, CASE WHEN isnan(fident) THEN NULL ELSE fident END AS f, split, source
+  FROM (SELECT *, {acc_sql('query')} AS q, {acc_sql('target')} AS t FROM merged_protein_similarity) WHERE q IS NOT NULL AND t IS NOT NULL),
+m AS (SELECT e.pair_id AS eid, t.pair_id AS tid, e.split AS split, e.source AS source FROM r e JOIN r t ON e.a = t.a AND e.b = t.b
+  WHERE e.split IN ('val', 'test') AND t.split = 'train' AND (abs(e.f - t.f) <= 0.01 + 1e-9 OR (e.f IS NULL AND t.f IS NULL)))"""
+P3_SQL = _P3 + " SELECT least(eid, tid) AS pair_id_a, greatest(eid, tid) AS pair_id_b FROM m"
+P3_COUNTS_SQL = _P3 + " SELECT split, source, count(DISTINCT eid) AS eval_rows, count(*) AS row_pairs FROM m GROUP BY 1, 2"
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "merged_protein_similarity").select("query", "target")
     return connected_components(pairs, accession("query"), accession("target")).withColumnRenamed("vertex", "protein")
@@ -20,8 +67,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
