@@ -10,9 +10,12 @@ from ..operators.table_diff import pair_rows
 from ..plans.copies import acc_sql
 from ..session import table
 from .components import connected_components
+from .groupsplit import protein_split
 from .neighbours import file_neighbours, mutual
 from .overlap import cross_split_pairs
-from .tokens import encode
+from .packing import fill_containers, usage
+from .pieces import split_texts
+from .tokens import encode, token_counts
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +60,11 @@ P3_SQL = _P3 + " SELECT least(eid, tid) AS pair_id_a, greatest(eid, tid) AS pair
 P3_COUNTS_SQL = _P3 + " SELECT split, source, count(DISTINCT eid) AS eval_rows, count(*) AS row_pairs FROM m GROUP BY 1, 2"
 
 
+def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, clusters = (table(spark, sf_dir, t) for t in ("merged_protein_similarity", "cluster_members"))
+    return protein_split(pairs, clusters, {"train": 0.8, "val": 0.1, "test": 0.1})
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "merged_protein_similarity").select("query", "target")
     return connected_components(pairs, accession("query"), accession("target")).withColumnRenamed("vertex", "protein")
@@ -66,8 +74,24 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_containers(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage(_packed(spark, sf_dir))
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p4_split": p4_split, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_pieces": p8_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,6 +46,8 @@ class PieceEncoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.raw = {i: b for b, i in ranks.items()}
+        self.raw_length = np.zeros(max(self.raw) + 1, np.int64)
+        self.raw_length[list(self.raw)] = [len(b) for b in self.raw.values()]
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kept: dict[str, tuple[int, ...]] = {}
 
