@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import copies
+from . import copies, ingest
 
-PARTS = [copies]
+PARTS = [copies, ingest]
 
 
 def queries() -> dict:
