@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import euclidean, pair_index
+from ..session import Scratch
 from .ordered import running_sums
 from .pairwise import ks_by, wasserstein_by
 
@@ -19,54 +20,60 @@ def log_sizes(low: int, high: int, steps: int) -> list[int]:
     return sorted({int(10 ** (a + (b - a) * i / max(steps - 1, 1))) for i in range(steps)})
 
 
-def row_numbers(vectors: DataFrame, key: str) -> DataFrame:
-    """`vectors` with `row` from 0 in the order of a unique numeric key, without a global window."""
-    cum = running_sums(vectors.withColumn("_one", F.lit(1)), [], key, ["_one"])
-    return cum.withColumn("row", F.col("cum__one") - 1).drop("_one", "cum__one")
+def row_numbers(ids: DataFrame, key: str) -> DataFrame:
+    """`key`, `row` from 0 in the order of a unique numeric key, without a global window."""
+    cum = running_sums(ids.select(key, F.lit(1).alias("_one")), [], key, ["_one"])
+    return cum.select(key, (F.col("cum__one") - 1).alias("row"))
 
 
-def sampled_indices(spark, n: int, size: int, seed: int) -> DataFrame:
-    """`k`: `size` distinct linear indices of the n (n - 1) / 2 pairs, drawn by hash; all pairs if there are fewer.
+def sampled_indices(spark, n: int, cells: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """`sample_size`, `repetition`, `k`: distinct linear indices of the n (n - 1) / 2 pairs for each cell (size,
+    repetition, seed), drawn by hash; all pairs if there are fewer.
 
     Draws are hashes of a running number, a few more than needed; after removal of repeats those with the smallest
     second hash stay, so no part of the triangle is favoured.
     """
     total = n * (n - 1) // 2
-    if size >= total:
-        return spark.range(total).withColumnRenamed("id", "k")
-    # Draws until `size` distinct ones can be expected, and a margin of six standard deviations.
-    need = -total * math.log1p(-size / total) if size < total else total
-    draws = int(need + 6 * math.sqrt(need + 1) + 16)
-    k = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("k")
-    return spark.range(draws).select(k).distinct().orderBy(F.xxhash64("k", F.lit(seed + 1)), "k").limit(size)
-
-
-def sampled_distances(vectors: DataFrame, key: str, vector: str, size: int, seed: int, n: int | None = None) -> DataFrame:
-    """`k`, `i`, `j`, `distance` of sampled pairs of rows: two equi-joins on the row number, no cross product."""
+    out = None
+    for size, rep, seed in cells:
+        if size >= total:
+            part = spark.range(total).select(F.col("id").alias("k"), F.col("id").alias("h"))
+        else:
+            # Draws until `size` distinct ones can be expected, and a margin of six standard deviations.
+            need = -total * math.log1p(-size / total)
+            draws = int(need + 6 * math.sqrt(need + 1) + 16)
+            part = spark.range(draws).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("k")).select("k", F.xxhash64("k", F.lit(seed + 1)).alias("h"))
+        part = part.select(F.lit(size).alias("sample_size"), F.lit(rep).alias("repetition"), "k", "h")
+        out = part if out is None else out.unionByName(part)
+    first = Window.partitionBy("sample_size", "repetition").orderBy("h", "k")
+    kept = out.distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= F.col("sample_size"))
+    return kept.select("sample_size", "repetition", "k")
+
+
+def sampled_distances(vectors: DataFrame, key: str, vector: str, cells: Sequence[tuple[int, int, int]], n: int | None = None) -> DataFrame:
+    """`sample_size`, `repetition`, `k`, `i`, `j`, `distance` of sampled pairs of rows of all cells: two equi-joins on the
+    row number, no cross product."""
     n = vectors.count() if n is None else n
-    numbered = row_numbers(vectors.select(key, vector), key)
+    numbered = row_numbers(vectors, key).join(vectors.select(key, vector), key)
     i, j = pair_index(F.col("k"), n)
-    at = sampled_indices(vectors.sparkSession, n, size, seed).select("k", i.alias("i"), j.alias("j"))
+    at = sampled_indices(vectors.sparkSession, n, cells).withColumns({"i": i, "j": j})
     side = lambda c: numbered.select(F.col("row").alias(c), F.col(vector).alias(f"_{c}"))
-    return at.join(side("i"), "i").join(side("j"), "j").select("k", "i", "j", euclidean("_i", "_j").alias("distance"))
+    return at.join(side("i"), "i").join(side("j"), "j").select("sample_size", "repetition", "k", "i", "j", euclidean("_i", "_j").alias("distance"))
 
 
 def convergence(vectors: DataFrame, key: str, vector: str, sizes: Sequence[int], repetitions: int, reference_size: int, seed: int = 42) -> DataFrame:
     """Per sample size, over repetitions: `mean_error` (of the mean of means), `mean_spread` (population deviation of
-    means), mean `wasserstein` and `ks` against a reference sample. All samples are one DataFrame, compared in one pass."""
-    n = vectors.count()
-    reference = sampled_distances(vectors, key, vector, reference_size, seed, n).select("distance")
-    parts = None
-    for size in sizes:
-        for rep in range(repetitions):
-            s = sampled_distances(vectors, key, vector, size, seed + 1000 * (rep + 1) + size, n).select(F.lit(size).alias("sample_size"), F.lit(rep).alias("repetition"), F.col("distance").alias("v"))
-            parts = s if parts is None else parts.unionByName(s)
-    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("sample_size"), F.lit(r).alias("repetition")) for s in sizes for r in range(repetitions)]))
-    theirs = reference.select(cells.alias("c"), F.col("distance").alias("v")).select("c.*", "v")
+    means), mean `wasserstein` and `ks` against a reference sample. All samples are drawn and compared in one pass."""
+    work = Scratch(vectors.sparkSession, "convergence")
+    cells = [(s, r, seed + 1000 * (r + 1) + s) for s in sizes for r in range(repetitions)]
+    drawn = work.save(sampled_distances(vectors, key, vector, [*cells, (reference_size, -1, seed)]).select("sample_size", "repetition", F.col("distance").alias("v")), "samples")
+    parts, reference = drawn.filter("repetition >= 0"), drawn.filter("repetition < 0")
+    each_cell = F.explode(F.array(*[F.struct(F.lit(s).alias("sample_size"), F.lit(r).alias("repetition")) for s, r, _ in cells]))
+    theirs = reference.select(each_cell.alias("c"), "v").select("c.*", "v")
     samples = parts.withColumn("side", F.lit(0)).unionByName(theirs.withColumn("side", F.lit(1)))
     keys = ["sample_size", "repetition"]
     means = parts.groupBy(*keys).agg(F.avg("v").alias("mean"))
-    ref = reference.agg(F.avg("distance").alias("ref"))
+    ref = reference.agg(F.avg("v").alias("ref"))
     each = means.join(wasserstein_by(samples, keys), keys).join(ks_by(samples, keys), keys).join(F.broadcast(ref))
     out = each.groupBy("sample_size", "ref").agg(F.abs(F.avg("mean") - F.col("ref")).alias("mean_error"), F.stddev_pop("mean").alias("mean_spread"), F.avg("wasserstein").alias("wasserstein"), F.avg("ks").alias("ks"))
     return out.select("sample_size", *[F.round(c, 6).alias(c) for c in ("mean_error", "mean_spread", "wasserstein", "ks")])

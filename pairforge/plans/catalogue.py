@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import copies, ingest
+from . import copies, ingest, statistics
 
-PARTS = [copies, ingest]
+PARTS = [copies, ingest, statistics]
 
 
 def queries() -> dict:
