@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import default_parallelism
 from .ordered import average_ranks, present, running_sums
 from .pairwise import moments_correlation, spearman_by
 
@@ -97,77 +98,78 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def bootstrap_sums(df: DataFrame, key: Sequence[str], x: str, y: str, replicates: int, seed: int) -> DataFrame:
-    """`replicate`, weighted moments of (x, y): each row counts Poisson(1) times in each replicate, by a hash of its key.
+def _occurrences() -> np.ndarray:
+    """Poisson(1) occurrences by a 16-bit draw."""
+    chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(chances, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
+
 
-    Moments are summed batch by batch, so a task moves one row per replicate whatever it reads.
+def bootstrap_sums(df: DataFrame, key: Sequence[str], columns: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """`replicate`, `weight` and `moments`: weighted sums of all `columns` (doubles) in each replicate.
+
+    Each row counts Poisson(1) times in a replicate, by a hash of its key, four replicates to a hash. Sums are taken
+    batch by batch, so a task moves one row per replicate whatever it reads.
     """
-    # The cumulative chances of 0, 1, 2, ... occurrences.
-    chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    k = len(columns)
+    blocks = -(-replicates // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = _mix(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        total = np.zeros((replicates, 6))
+        times = _occurrences()
+        salt = _mix(np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        total = np.zeros((4 * blocks, k + 1))
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64)
-            u, v = b.column(1).to_numpy(), b.column(2).to_numpy()
-            m = np.stack([np.ones_like(u), u, v, u * u, v * v, u * v], 1)
-            for at in range(0, len(h), 2048):
-                draw = _mix(h[None, at : at + 2048] ^ salt[:, None]) >> np.uint64(11)
-                total += np.searchsorted(chances, draw * 2.0**-53).astype(np.float64) @ m[at : at + 2048]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), *[pa.array(total[:, i]) for i in range(6)]], names=["replicate", *[f"m{i}" for i in range(6)]])
-
-    rows = df.select(F.xxhash64(*key).alias("h"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    sums = rows.mapInArrow(run, "replicate int, " + ", ".join(f"m{i} double" for i in range(6)))
-    return sums.groupBy("replicate").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(6)])
-
-
-STATISTICS: dict[str, Callable[[], F.Column]] = {}
-
-
-def statistic(name: str):
-    """Registers an aggregate-free expression over the moments m0..m5 (n, x, y, xx, yy, xy) as a bootstrap statistic."""
-
-    def add(f: Callable[[], F.Column]) -> Callable[[], F.Column]:
-        STATISTICS[name] = f
-        return f
-
-    return add
-
-
-@statistic("correlation")
-def _moment_correlation() -> F.Column:
-    n = F.col("m0")
-    vx, vy = F.col("m3") / n - F.pow(F.col("m1") / n, 2), F.col("m4") / n - F.pow(F.col("m2") / n, 2)
-    c = F.col("m5") / n - F.col("m1") * F.col("m2") / (n * n)
+            m = np.stack([np.ones(b.num_rows), *[b.column(i + 1).to_numpy() for i in range(k)]], 1)
+            for at in range(0, len(h), 1024):
+                part = h[at : at + 1024]
+                draw = _mix(part[None, :] ^ salt[:, None]).view(np.uint16).reshape(blocks, len(part), 4)
+                total += times[draw].transpose(0, 2, 1).reshape(4 * blocks, len(part)).astype(np.float64) @ m[at : at + 1024]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), *[pa.array(total[:replicates, i]) for i in range(k + 1)]], names=["replicate", "weight", *[f"s{i}" for i in range(k)]])
+
+    rows = df.select(F.xxhash64(*key).alias("h"), *columns)
+    sums = rows.mapInArrow(run, "replicate int, weight double, " + ", ".join(f"s{i} double" for i in range(k)))
+    return sums.groupBy("replicate").agg(F.sum("weight").alias("weight"), *[F.sum(f"s{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def moment_correlation(x: str, y: str) -> F.Column:
+    """Correlation from a replicate's sums of x, y, xx, yy, xy; null where a side is (nearly) constant."""
+    n = F.col("weight")
+    vx, vy = F.col(f"{x}{x}") / n - F.pow(F.col(x) / n, 2), F.col(f"{y}{y}") / n - F.pow(F.col(y) / n, 2)
+    c = F.col(f"{x}{y}") / n - F.col(x) * F.col(y) / (n * n)
     return F.when((n >= 2) & (vx > 1e-9) & (vy > 1e-9), c / F.sqrt(vx * vy))
 
 
-@statistic("squared correlation")
-def _moment_r2() -> F.Column:
-    return F.pow(_moment_correlation(), 2)
+#: Statistics of a replicate by name: expressions over its sums. More may be added.
+STATISTICS: dict[str, Callable[[], F.Column]] = {
+    "pearson_r2": lambda: F.pow(moment_correlation("t", "p"), 2),
+    "spearman": lambda: moment_correlation("u", "v"),
+}
 
 
 def bootstrap_interval(df: DataFrame, key: Sequence[str], truth: str, prediction: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """`statistic`, `se`, `ci_low`, `ci_high`, `valid` of Pearson's r squared and Spearman's rho.
+    """`statistic`, `valid`, `se`, `ci_low`, `ci_high` of Pearson's r squared and Spearman's rho.
 
     A Poisson bootstrap: like drawing with replacement, but no row needs to know the others, so one pass over the data
-    serves all replicates and the result doesn't depend on partitions. Spearman uses the sample's own average ranks in
-    every replicate. Replicates with a constant side are invalid; with at most one valid, the interval is null.
+    serves all replicates and statistics, and the result doesn't depend on partitions. Spearman uses the sample's own
+    average ranks in every replicate. Replicates with a constant side are invalid; with at most one valid, the
+    interval is null.
     """
-    rows = df.filter(present(truth, prediction)).select(*key, F.col(truth).cast("double").alias("_t"), F.col(prediction).cast("double").alias("_p"))
-    ranked = rows.join(average_ranks(rows, [], "_t", "_rt"), "_t").join(average_ranks(rows, [], "_p", "_rp"), "_p")
+    rows = df.filter(present(truth, prediction)).select(*key, F.col(truth).cast("double").alias("t"), F.col(prediction).cast("double").alias("p"))
+    ranked = rows.join(average_ranks(rows, [], "t", "u"), "t").join(average_ranks(rows, [], "p", "v"), "p")
     size = F.broadcast(rows.agg(F.count("*").alias("_n")))
-    ranked = ranked.join(size).select(*key, (F.col("_rt") / F.col("_n")).alias("_rt"), (F.col("_rp") / F.col("_n")).alias("_rp"))
-    parts = []
-    for name, data, x, y, f in (("pearson_r2", rows, "_t", "_p", _moment_r2), ("spearman", ranked, "_rt", "_rp", _moment_correlation)):
-        s = bootstrap_sums(data, key, x, y, replicates, seed).select(f().alias("s")).filter("s is not null")
-        tail = (1 - level) / 2
-        q = F.percentile("s", F.array(F.lit(tail), F.lit(1 - tail)))
-        a = s.agg(F.count("*").alias("valid"), F.stddev_samp("s").alias("se"), q.alias("q"))
-        ok = F.col("valid") > 1
-        parts.append(a.select(F.lit(name).alias("statistic"), "valid", *[F.round(F.when(ok, c), 6).alias(k) for k, c in (("se", F.col("se")), ("ci_low", F.col("q")[0]), ("ci_high", F.col("q")[1]))]))
-    return parts[0].unionByName(parts[1])
+    ranked = ranked.join(size).withColumns({c: F.col(c) / F.col("_n") for c in "uv"})
+    sums = {"t": F.col("t"), "p": F.col("p"), "tt": F.col("t") * F.col("t"), "pp": F.col("p") * F.col("p"), "tp": F.col("t") * F.col("p")}
+    sums |= {"u": F.col("u"), "v": F.col("v"), "uu": F.col("u") * F.col("u"), "vv": F.col("v") * F.col("v"), "uv": F.col("u") * F.col("v")}
+    # Each row costs thousands of draws, so it is worth a shuffle to keep all cores busy.
+    wide = max(2 * default_parallelism(df.sparkSession), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    data = ranked.repartition(wide).select(*key, *[c.alias(n) for n, c in sums.items()])
+    each = F.array(*[F.struct(F.lit(n).alias("statistic"), f().alias("s")) for n, f in STATISTICS.items()])
+    values = bootstrap_sums(data, key, list(sums), replicates, seed).select(F.explode(each).alias("e")).select("e.*")
+    tail = (1 - level) / 2
+    q = F.percentile("s", F.array(F.lit(tail), F.lit(1 - tail)))
+    a = values.groupBy("statistic").agg(F.count("s").alias("valid"), F.stddev_samp("s").alias("se"), q.alias("q"))
+    ok = F.col("valid") > 1
+    return a.select("statistic", "valid", *[F.round(F.when(ok, c), 6).alias(k) for k, c in (("se", F.col("se")), ("ci_low", F.col("q")[0]), ("ci_high", F.col("q")[1]))])
 
 
 def line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ sums of those before it. The ranges only decide where work happens; results are
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 RANGES = 32
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], ranges: int = RANGES) -> DataFrame:
-    """`df` with `cum_<s>`: the sum of s over the rows of the same keys up to and including this row's `order`.
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], lead: bool = False, ranges: int = RANGES) -> DataFrame:
+    """`df` with `cum_<s>`: the sum of s over the rows of the same keys up to and including this row's `order`; with
+    `lead` also `next_<order>`: the following order of the same keys, null at the last.
 
     `order` must be unique within the keys and numeric. Null orders fall out.
     """
@@ -24,15 +26,20 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[
     one = df if "_all" not in keys else df.withColumn("_all", F.lit(0))
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     edges = one.groupBy(*keys).agg(F.percentile_approx(order, steps, 1000).alias("_edges"))
-    cut = one.join(edges, keys).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    # Unrolled, so that it stays inside generated code.
+    place = reduce(lambda a, b: a + b, [F.when(F.col("_edges")[i] < F.col(order), 1).otherwise(0) for i in range(ranges - 1)])
+    cut = one.join(edges, keys).withColumn("_range", place).drop("_edges")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_s_{s}") for s in sums])
+    totals = cut.groupBy(*keys, "_range").agg(F.min(order).alias("_first"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
+    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_after")
+    starts = totals.select(*keys, "_range", after, *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_s_{s}") for s in sums])
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.join(starts, [*keys, "_range"])
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.sum(s).over(inside) + F.col(f"_s_{s}"))
-    drop = ["_range", *[f"_s_{s}" for s in sums]] + (["_all"] if "_all" in keys else [])
+    if lead:
+        out = out.withColumn(f"next_{order}", F.coalesce(F.lead(order).over(Window.partitionBy(*keys, "_range").orderBy(order)), F.col("_after")))
+    drop = ["_range", "_after", *[f"_s_{s}" for s in sums]] + (["_all"] if "_all" in keys else [])
     return out.drop(*drop)
 
 
@@ -43,19 +50,6 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return cum.select(*keys, value, (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
 
 
-def lead_in_order(df: DataFrame, keys: Sequence[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """`df` with `next_<order>`: the following order of the same keys, null at the last."""
-    keys = list(keys)
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    edges = df.groupBy(*keys).agg(F.percentile_approx(order, steps, 1000).alias("_edges"))
-    cut = df.join(edges, keys).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
-    firsts = cut.groupBy(*keys, "_range").agg(F.min(order).alias("_first"))
-    after = firsts.select(*keys, "_range", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_after"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(order)
-    out = cut.join(after, [*keys, "_range"]).withColumn(f"next_{order}", F.coalesce(F.lead(order).over(inside), F.col("_after")))
-    return out.drop("_range", "_after")
-
-
 def present(*columns: str) -> Column:
     """Neither null nor NaN, in all columns."""
     cond = F.lit(True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import equal_bin, min_max
-from .ordered import average_ranks, lead_in_order, present, running_sums
+from .ordered import average_ranks, present, running_sums
 
 LEAST_ROWS = 10
 
@@ -117,14 +117,13 @@ def _steps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both ECDFs at each distinct value of two samples: `samples` has keys, `v` and `side` (0 or 1)."""
     counts = samples.groupBy(*keys, "v").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("u"), F.sum("side").alias("w"))
     sizes = counts.groupBy(*keys).agg(F.sum("u").alias("nu"), F.sum("w").alias("nw"))
-    cum = running_sums(counts, keys, "v", ["u", "w"])
+    cum = running_sums(counts, keys, "v", ["u", "w"], lead=True)
     return cum.join(F.broadcast(sizes), list(keys)).withColumn("gap", F.abs(F.col("cum_u") / F.col("nu") - F.col("cum_w") / F.col("nw")))
 
 
 def wasserstein_by(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Wasserstein-1 distance of the two samples of each key: the area between their ECDFs."""
-    steps = _steps(samples, keys)
-    return lead_in_order(steps, keys, "v").groupBy(*keys).agg(F.round(F.sum(F.col("gap") * (F.coalesce("next_v", "v") - F.col("v"))), 6).alias("wasserstein"))
+    return _steps(samples, keys).groupBy(*keys).agg(F.round(F.sum(F.col("gap") * (F.coalesce("next_v", "v") - F.col("v"))), 6).alias("wasserstein"))
 
 
 def ks_by(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
