@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_path
-from ..session import default_parallelism
+from ..session import Scratch, default_parallelism
 
 TABLES = 4
 WIDTH = 2.0
@@ -251,13 +251,16 @@ def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10,
     unique; unusable vectors neither ask nor answer. An empty table gives no rows.
     """
     spark = df.sparkSession
+    work = Scratch(spark, "neighbours")
     good = usable_vectors(df, key, group, vector)
     marked = good.withColumn("file", F.xxhash64("grp")).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec"))
     keys = marked.select("id", "file", "h1", "h2")
     copied = keys.groupBy("file", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter(F.col("n") > 1)
     members = keys.join(copied, ["file", "h1", "h2"]).select("id", "rep")
+    members = work.save(members, "copies")
     reps = marked.join(members.filter(F.col("id") != F.col("rep")), "id", "left_anti").select("id", "file", F.col("vec").cast("array<float>").alias("vec"))
-    most = good.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    reps = work.save(reps, "vectors")
+    most = reps.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     functions = functions_per_table(most)
     probes = probes_per_table(functions)
 
