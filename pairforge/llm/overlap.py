@@ -77,9 +77,14 @@ def text_overlaps(evaluation: DataFrame, training: DataFrame, words: int = PASSA
     shards = max(default_parallelism(evaluation.sparkSession), -(-count // shard_passages))
     parts = min(shards, 2000)
     shard_of = lambda gram: F.pmod(F.xxhash64(gram), F.lit(shards)).cast("int")
-    anchor = _grams(F.split(F.trim("value"), " "), anchor_words)
+    parts_of = F.split(F.trim("value"), " ")
+    anchor = _grams(parts_of, anchor_words)
+    places = anchor
+    if not ev.filter(F.size(F.split(F.trim("text"), " ")) < anchor_words).isEmpty():
+        # Evaluation texts shorter than an anchor are anchored by all they have.
+        places = F.concat(*[_grams(parts_of, i) for i in range(1, anchor_words + 1)])
     needles = cut.select(F.col("passage").alias("value")).distinct().select(shard_of(anchor[0]).alias("shard"), F.lit(False).alias("is_text"), "value")
-    visits = tr.select(F.col("text").alias("value")).select(F.explode(F.array_distinct(F.transform(anchor, shard_of))).alias("shard"), F.lit(True).alias("is_text"), "value")
+    visits = tr.select(F.col("text").alias("value")).select(F.explode(F.array_distinct(F.transform(places, shard_of))).alias("shard"), F.lit(True).alias("is_text"), "value")
     lanes = needles.unionByName(visits).repartition(parts, "shard").sortWithinPartitions("shard", "is_text")
     hits = lanes.mapInArrow(_scan, "train_text string, passage string").distinct()
     spans = cut.join(hits, "passage").select(F.col("text").alias("eval_text"), "train_text", "start", (F.col("start") + F.length("passage")).alias("end"))

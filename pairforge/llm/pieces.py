@@ -142,6 +142,8 @@ def _cut_run(enc: PieceEncoder, text: str, start: int, end: int, budget: int) ->
                 break
             take = max(1, take - max(1, take // 16))
         at += n
+        if at >= end:
+            return cuts
         cuts.append(at)
 
 
