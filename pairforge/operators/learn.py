@@ -104,8 +104,9 @@ def train_network(a: np.ndarray, b: np.ndarray, y: np.ndarray, tower: int = 64,
     first, second = ([np.zeros_like(w) for w in net.weights] for _ in range(2))
     best, best_loss, bad, step, history = pickle.dumps(net), np.inf, 0, 0, []
     for _ in range(epochs):
+        mixed = rng.permutation(fit)
         for at in range(0, len(fit), batch):
-            rows = rng.permutation(fit)[:batch] if at == 0 else fit[at : at + batch]
+            rows = mixed[at : at + batch]
             step += 1
             for i, g in enumerate(net.gradients(a[rows], b[rows], y[rows])):
                 first[i] = 0.9 * first[i] + 0.1 * g
