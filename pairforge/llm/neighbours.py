@@ -170,8 +170,9 @@ def _lane(k: int, least: float, block_rows: int):
             for s in stored:
                 if s[3].shape[1] != q[3].shape[1]:
                     continue
-                for at in range(0, len(q[0]), 2048):
-                    part = slice(at, at + 2048)
+                wide = max(1, 4_000_000 // len(s[0]))
+                for at in range(0, len(q[0]), wide):
+                    part = slice(at, at + wide)
                     sims = (q[3][part] @ s[3].T) * q[1][part, None] * s[1]
                     slack = q[2][part, None] + s[2] + q[2][part, None] * s[2]
                     hit = (sims + slack >= least) & (q[0][part, None] != s[0])
@@ -298,6 +299,83 @@ def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10,
     return askers.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Queries and rows that one lane of the exact search holds at a time.
+BLOCK_QUERIES, LANE_ROWS = 2_000, 100_000
+
+
+def _exact_lane(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, asked, best = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                ids, sims = best
+                row, col = np.nonzero(sims > -2)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[0][row]), pa.array(ids[row, col]), pa.array(np.round(sims[row, col], 9))], names=["id", "neighbour", "similarity"])
+
+        for batch in batches:
+            key, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.nonzero((np.diff(key) != 0) | (np.diff(role) != 0))[0] + 1
+            for lo, hi in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])):
+                if lo == hi:
+                    continue
+                flat = batch.column(3).slice(lo, hi - lo)
+                x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(hi - lo, -1)
+                x = x / np.abs(x).max(1)[:, None]
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                ids = batch.column(2).slice(lo, hi - lo).to_numpy()
+                if key[lo] != lane:
+                    yield from done()
+                    lane, asked, best = key[lo], None, None
+                if role[lo] == 0:
+                    asked = (ids, x) if asked is None else (np.concatenate([asked[0], ids]), np.concatenate([asked[1], x]))
+                elif asked is not None:
+                    for at in range(0, len(ids), 1000):
+                        sims = asked[1] @ x[at : at + 1000].T
+                        theirs = np.broadcast_to(ids[at : at + 1000], sims.shape)
+                        sims[asked[0][:, None] == theirs] = -3
+                        if best is not None:
+                            sims, theirs = np.concatenate([best[1], sims], 1), np.concatenate([best[0], theirs], 1)
+                        # Ties go to the smaller id: order by id first, then stably by similarity.
+                        by_id = np.argsort(theirs, 1, kind="stable")
+                        sims, theirs = np.take_along_axis(np.round(sims, 9), by_id, 1), np.take_along_axis(theirs, by_id, 1)
+                        top = np.argsort(-sims, 1, kind="stable")[:, :k]
+                        best = (np.take_along_axis(theirs, top, 1), np.take_along_axis(sims, top, 1))
+        yield from done()
+
+    return run
+
+
+def search(df: DataFrame, key: str, group: F.Column, vector: str, asked: F.Column, k: int = 10, least: float = 0.9) -> DataFrame:
+    """`id`, `neighbour`, `similarity`, `rank`: the k most similar usable vectors of the same group, whatever their
+    similarity, for the usable vectors for which `asked` (an expression over `id`) holds.
+
+    `nearest` answers those it finds k neighbours of at least `least` for; the others are compared with all vectors of
+    their group, exactly and in blocks of BLOCK_QUERIES queries. Groups with fewer others give shorter lists.
+    """
+    spark = df.sparkSession
+    work = Scratch(spark, "search")
+    good = work.save(usable_vectors(df, key, group, vector).select("id", F.xxhash64("grp").alias("file"), "vec"), "usable")
+    near = nearest(df, key, group, vector, k, least).filter(asked)
+    near = work.save(near, "near")
+    full = near.groupBy("id").count().filter(F.col("count") >= k).select("id")
+    queries = work.save(good.filter(asked).join(full, "id", "left_anti"), "queries")
+    # A file's queries are spread over blocks, its rows over lanes; each block meets each lane.
+    per = queries.groupBy("file").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
+    rows = good.groupBy("file").agg(F.ceil(F.count("*") / LANE_ROWS).cast("int").alias("lanes"))
+    sizes = per.join(rows, "file")
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lane = F.xxhash64("file", "block", "lane").alias("key")
+    ask = queries.join(sizes, "file").withColumn("block", number("blocks")).withColumn("lane", every("lanes")).select(lane, F.lit(0).alias("role"), "id", "vec")
+    met = good.join(sizes, "file").withColumn("lane", number("lanes")).withColumn("block", every("blocks")).select(lane, F.lit(1).alias("role"), "id", "vec")
+    lanes = ask.unionByName(met).repartition(4 * default_parallelism(spark), "key").sortWithinPartitions("key", "role")
+    exact = lanes.mapInArrow(_exact_lane(k), "id bigint, neighbour bigint, similarity double")
+    found = exact.unionByName(near.join(full, "id", "left_semi").select("id", "neighbour", "similarity"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def mutual(lists: DataFrame) -> DataFrame:
     """`a`, `b`, `similarity` of the pairs in which each is on the other's list."""
     pair = lists.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "similarity")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import accession
+from ..functions.ids import accession, canonical_path
 from ..operators.table_diff import pair_rows
 from ..plans.copies import acc_sql
 from ..session import table
 from .components import connected_components
 from .groupsplit import protein_split
-from .neighbours import file_neighbours, mutual
+from .neighbours import file_neighbours, mutual, search
 from .overlap import cross_split_pairs
 from .packing import fill_containers, usage
 from .pieces import split_texts
@@ -27,12 +27,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
 
 
-P2_SQL = """WITH v AS (SELECT vec_id, '/' || embedding_file AS p, embedding AS e FROM protein_embeddings WHERE embedding IS NOT NULL AND embedding_file IS NOT NULL),
+def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of the same file, at any similarity, of every vector whose id is divisible by 20."""
+    lists = search(_vectors(spark, sf_dir), "vec_id", canonical_path("embedding_file"), "embedding", F.col("id") % 20 == 0)
+    return lists.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("int").alias("rank"))
+
+
+_P2 = """WITH v AS (SELECT vec_id, '/' || embedding_file AS p, embedding AS e FROM protein_embeddings WHERE embedding IS NOT NULL AND embedding_file IS NOT NULL),
 w AS (SELECT vec_id, e, regexp_replace(regexp_replace(regexp_replace(p, '/(\\./)+', '/', 'g'), '/+', '/', 'g'), '[^/]+/\\.\\./', '', 'g') AS file FROM v),
 l AS (SELECT file, len(e) AS n, count(*) AS c FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, n DESC) = 1),
 u AS (SELECT vec_id, w.file, CAST(e AS DOUBLE[]) AS e FROM w JOIN l ON w.file = l.file AND len(w.e) = l.n
       WHERE len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-s AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 9) AS sim FROM u a JOIN u b ON a.file = b.file AND a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 9) AS sim FROM u a JOIN u b ON a.file = b.file AND a.vec_id <> b.vec_id)"""
+P2_SEARCH_SQL = _P2 + """ SELECT i AS vec_id, j AS neighbour_id, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS INT) AS rank FROM s WHERE i % 20 = 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 10"""
+P2_SQL = _P2 + """,
 t AS (SELECT i, j FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 10)
 SELECT a.i AS vec_id_a, a.j AS vec_id_b FROM t a JOIN t b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j"""
 
@@ -75,7 +83,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill_containers(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
+    documents = table(spark, sf_dir, "documents")
+    return fill_containers(token_counts(documents, "doc_id", "text"), "doc_id", "n_tokens", n_items=documents.count())
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +100,8 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p4_split": p4_split, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_pieces": p8_pieces}
+    return {"p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_counts": p3_counts, "p4_split": p4_split, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_pieces": p8_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
+    return {"p2_found": P2_SQL, "p2_search": P2_SEARCH_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}

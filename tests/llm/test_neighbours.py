@@ -85,3 +85,13 @@ def test_probe_order_and_sizes():
     assert sets[0] == (0,) and len(set(sets)) == 12 and all(len({min(j, 7 - j) for j in s}) == len(s) for s in sets)
     assert functions_per_table(10) == 2 and functions_per_table(10**9) > functions_per_table(10**5) > 2
     assert pytest.approx(21, abs=1) == functions_per_table(10**9)
+
+
+def test_search_is_exact_at_any_similarity(spark):
+    from pairforge.llm.neighbours import search
+
+    v = np.concatenate([clustered(200, 8, 5, 20), np.random.default_rng(6).normal(size=(100, 8))])
+    rows = [(i, "f", x) for i, x in enumerate(v)] + [(i, "f", v[0]) for i in range(400, 405)] + [(500, "g", v[0]), (501, "g", [0.0] * 8)]
+    got = lists(search(frame(spark, rows), "vec_id", F.col("embedding_file"), "embedding", F.col("id") % 5 == 0, 6))
+    want = {i: js for i, js in brute([(i, x) for i, f, x in rows if f == "f"], 6, -1.0).items() if i % 5 == 0}
+    assert got == want
