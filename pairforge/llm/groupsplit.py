@@ -8,9 +8,11 @@ graph. Then whole groups are assigned to splits such that each split's sizes by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,51 @@ from ..session import Scratch
 LARGE_SHARE = 0.0005
 #: Other groups are placed by the cell of their label and hash; so many cells per label.
 CELLS = 256
+#: Memberships that one task finishes in memory.
+TASK_ROWS = 20_000
 #: Labels beyond this many are stratified together.
 MOST_LABELS = 64
 
 
-def propagate(memberships: DataFrame, work: Scratch) -> DataFrame:
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same propagation over one bounded graph in memory."""
+    table = pa.Table.from_batches(batches)
+    if not table.num_rows:
+        return
+    record, entity = (table.column(i).combine_chunks().dictionary_encode() for i in (0, 1))
+    record, entity = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (record, entity))
+    order = pc.sort_indices(record.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    r, e = rank[record.indices.to_numpy()], entity.indices.to_numpy()
+    label = np.arange(len(order))
+    while True:
+        low = np.full(len(entity.dictionary), len(order))
+        np.minimum.at(low, e, label[r])
+        new = label.copy()
+        np.minimum.at(new, r, low[e])
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    names = record.dictionary.take(pa.array(order))
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], names=["record", "parent"])
+
+
+def propagate(memberships: DataFrame, work: Scratch, task_rows: int = TASK_ROWS) -> DataFrame:
     """`record`, `group_id` (the smallest record of its component) of every record that shares an entity with another.
 
     `memberships`: `record`, `entity` (strings, no nulls). Each round needs partial aggregations and one join per side;
-    no entity's records are ever brought together in one place.
+    no entity's records are ever brought together in one place. A contracted graph of at most `task_rows` memberships
+    is finished by one bounded task.
     """
     steps: list[DataFrame] = []
     graph = work.save(memberships.distinct(), "graph")
     while True:
+        if 0 < graph.count() <= task_rows:
+            steps.append(work.save(graph.coalesce(1).mapInArrow(_local, "record string, parent string"), "parent"))
+            work.drop(graph)
+            break
         low = graph.groupBy("entity").agg(F.min("record").alias("low"), F.max("record").alias("high"))
         linked = graph.join(low.filter("low <> high").select("entity", "low"), "entity")
         parent = linked.groupBy("record").agg(F.min("low").alias("parent"))
@@ -40,8 +74,13 @@ def propagate(memberships: DataFrame, work: Scratch) -> DataFrame:
         if parent.isEmpty():
             work.drop(graph, parent)
             break
+        # Labels move on to their own parents, so a chain of labels is halved once more in each round.
+        above = parent.filter("parent <> record").select(F.col("record").alias("parent"), F.col("parent").alias("above"))
+        further = work.save(parent.join(above, "parent", "left").select("record", F.coalesce("above", "parent").alias("parent")), "parent")
+        work.drop(parent)
+        parent = further
         steps.append(parent)
-        moved = graph.join(parent, "record").select(F.col("parent").alias("record"), "entity").distinct()
+        moved = linked.select("record", "entity").join(parent, "record").select(F.col("parent").alias("record"), "entity").distinct()
         contracted = work.save(moved, "graph")
         work.drop(graph)
         graph = contracted
