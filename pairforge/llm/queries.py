@@ -78,6 +78,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(pairs, accession("query"), accession("target")).withColumnRenamed("vertex", "protein")
 
 
+P5_SQL = f"""WITH RECURSIVE r AS (SELECT {acc_sql('query')} AS q, {acc_sql('target')} AS t FROM merged_protein_similarity),
+n AS (SELECT q AS protein FROM r WHERE q IS NOT NULL UNION SELECT t FROM r WHERE t IS NOT NULL),
+e AS (SELECT q AS a, t AS b FROM r WHERE q <> t UNION SELECT t, q FROM r WHERE q <> t),
+c(protein, group_id) USING KEY (protein) AS (SELECT protein, protein FROM n
+  UNION SELECT e.b, min(x.group_id) FROM c x JOIN e ON e.a = x.protein JOIN recurring.c y ON y.protein = e.b WHERE x.group_id < y.group_id GROUP BY e.b)
+SELECT protein, group_id FROM c"""
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -104,4 +112,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p2_search": P2_SEARCH_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
+    return {"p2_found": P2_SQL, "p2_search": P2_SEARCH_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL, "p5_found": P5_SQL}
