@@ -74,13 +74,13 @@ def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, container
     return where, [next(c for c in capacities if c >= n) for n in filled]
 
 
-def fill_containers(items: DataFrame, key: str, size: str, capacities: Sequence[int] = CAPACITIES, container_cost: float = CONTAINER_COST, group_items: int = GROUP_ITEMS) -> DataFrame:
+def fill_containers(items: DataFrame, key: str, size: str, capacities: Sequence[int] = CAPACITIES, container_cost: float = CONTAINER_COST, group_items: int = GROUP_ITEMS, n_items: int | None = None) -> DataFrame:
     """`key`, `part`, `container_id`, `capacity`, `place`, `offset`, `length`: where every item lies.
 
     An item larger than the largest capacity is cut into parts of that capacity and a rest, numbered from 0; `offset`
     is where a part begins in its item and `place` where it lies in its container. Other items have one part. A size
     of zero or null lies in a container with length 0. Repeated keys are items of their own. An empty table gives no
-    rows. Container ids are unique across groups.
+    rows. Container ids are unique across groups. `n_items`, if known, saves the pass that counts the items.
     """
     most = max(capacities)
     kind = items.schema[key].dataType.simpleString()
@@ -88,7 +88,7 @@ def fill_containers(items: DataFrame, key: str, size: str, capacities: Sequence[
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("long"))))
     parts = rows.select("_key", "n", part.alias("part")).withColumn("offset", F.col("part") * most)
     parts = parts.select("_key", "part", "offset", F.least(F.col("n") - F.col("offset"), F.lit(most).cast("long")).alias("length"))
-    groups = max(1, -(-items.count() // group_items))
+    groups = max(1, -(-(items.count() if n_items is None else n_items) // group_items))
     parts = parts.withColumn("_group", F.pmod(F.xxhash64("_key", "part"), F.lit(groups)).cast("long"))
 
     def run(t: pa.Table) -> pa.Table:
