@@ -105,7 +105,7 @@ def rank_stem(name: Column | str) -> Column:
 
 
 def short_number(n: Column | str) -> Column:
-    """Thousands as K, M, B: one decimal below ten of the unit, none from there."""
+    """Thousands as K, M, B: one decimal (halves up) below ten of the unit, none from there."""
     x = col(n).cast("double")
     out = F.format_string("%d", x.cast("long"))
     for size, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):

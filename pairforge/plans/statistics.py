@@ -199,6 +199,33 @@ def pdb_ca_plddt(s, d):
     return readers.pdb_rows(one.select(F.col("l_orderkey").cast("string").alias("path"), line.alias("value")))
 
 
+# Presentation and names.
+query("number_format", """SELECT o_orderkey, CASE WHEN v >= 1e6 THEN CASE WHEN v / 1e6 < 10 THEN printf('%.1fM', round(v / 1e6, 1)) ELSE printf('%dM', CAST(floor(v / 1e6) AS BIGINT)) END
+ WHEN v >= 1000 THEN CASE WHEN v / 1000 < 10 THEN printf('%.1fK', round(v / 1000, 1)) ELSE printf('%dK', CAST(floor(v / 1000) AS BIGINT)) END ELSE printf('%d', CAST(floor(v) AS BIGINT)) END AS text FROM (SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) * 37 AS v FROM orders)""")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", P.short_number(F.col("o_orderkey").cast("double") * 37).alias("text")))
+query("safe_names", "SELECT experiment_id, regexp_replace(experiment_dir || ':a?b', '[\\\\/*?:\"<>|]', '_', 'g') AS name FROM experiment_paths")(
+    lambda s, d: table(s, d, "experiment_paths").select("experiment_id", P.safe_name(F.concat("experiment_dir", F.lit(":a?b"))).alias("name")))
+query("rank_stems", "SELECT DISTINCT embedding_name, 'x' || embedding_name AS stem FROM experiment_paths")(
+    lambda s, d: table(s, d, "experiment_paths").select("embedding_name", P.rank_stem(F.concat(F.lit("x"), "embedding_name", F.lit("_scores_rank_001_seed.json"))).alias("stem")).distinct())
+query("packed_list", "SELECT vec_id, array_to_string(list_transform(CAST(embedding[1:8] AS DOUBLE[]), lambda x: CAST(round_even(x * 100, 0) AS INT)), ',') AS packed FROM embeddings")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", P.packed_list(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 100)).alias("packed")))
+query("first_tokens", "SELECT p_partkey, string_split(p_name, ' ')[1] AS token FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", P.first_token("p_name").alias("token")))
+query("spaced_sequences", "SELECT p_partkey, trim(regexp_replace(translate(upper(replace(p_name, ' ', '')), 'UZOB', 'XXXX'), '(.)', '\\1 ', 'g')) AS sequence FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", P.spaced_sequence(F.replace("p_name", F.lit(" "), F.lit(""))).alias("sequence")))
+query("unique_cells", f"WITH {S.RESULTS} SELECT DISTINCT parameter, model_type FROM results")(lambda s, d: S.results(s, d).select("parameter", "model_type").dropDuplicates())
+query("finite_components", "SELECT vec_id, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1.0::DOUBLE ELSE 0 END)) AS replaced FROM protein_embeddings WHERE len(embedding) > 0")(
+    lambda s, d: table(s, d, "protein_embeddings").filter(F.size("embedding") > 0).select("vec_id", F.aggregate(F.zip_with("embedding", learn.cleaned("embedding"), lambda a, b: F.when(a.isNull() | F.isnan(a) | (a.cast("double") != b), 1.0).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x).alias("replaced")))
+query("difference_extremes", f"WITH {S.PAIRS}, m AS (SELECT col_a, col_b, round(median(abs(x - y)), 6) AS d FROM cp GROUP BY 1, 2) SELECT min(d) AS least, max(d) AS most, round(max(d) * 1.1::DOUBLE, 6) AS upper FROM m")(
+    lambda s, d: pairwise.difference_medians(wide(s, d), COLS).agg(F.min("median_diff").alias("least"), F.max("median_diff").alias("most"), F.round(F.max("median_diff") * 1.1, 6).alias("upper")))
+
+
+@query("xml_single_entry", f"WITH {S.RELEASES} SELECT cluster_id, count(*) AS n_members FROM orows WHERE cluster_id = 'C7' GROUP BY 1")
+def xml_single_entry(s, d):
+    tag = F.transform("members", lambda m: F.concat(F.lit('<dbReference type="UniParc ID" id="'), m, F.lit('">')))
+    text = _new(s, d).select(F.concat(F.lit('<entry id="'), "cluster_id", F.lit('">'), F.array_join(tag, "")).alias("value"))
+    return readers.xml_rows(text).filter("cluster_id = 'C7'").select("cluster_id", F.size("members").cast("bigint").alias("n_members"))
+
+
 # Models, checked by tests.
 @query("pca_project")
 def pca_project(s, d):
