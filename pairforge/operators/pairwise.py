@@ -118,7 +118,7 @@ def _steps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts = samples.groupBy(*keys, "v").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("u"), F.sum("side").alias("w"))
     sizes = counts.groupBy(*keys).agg(F.sum("u").alias("nu"), F.sum("w").alias("nw"))
     cum = running_sums(counts, keys, "v", ["u", "w"], lead=True)
-    return cum.join(F.broadcast(sizes), list(keys)).withColumn("gap", F.abs(F.col("cum_u") / F.col("nu") - F.col("cum_w") / F.col("nw")))
+    return cum.join(sizes, list(keys)).withColumn("gap", F.abs(F.col("cum_u") / F.col("nu") - F.col("cum_w") / F.col("nw")))
 
 
 def wasserstein_by(samples: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -35,8 +35,8 @@ def path_keys(paths: DataFrame, column: str = "path") -> DataFrame:
 
 
 def with_lookup(df: DataFrame, lookup: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    """Left join of a small static table, with defaults for unknown keys."""
-    out = df.join(F.broadcast(lookup), key, "left")
+    """Left join of a lookup table (unique keys), with defaults for unknown keys; Spark broadcasts it if it is small."""
+    out = df.join(lookup, key, "left")
     return out.select(*df.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
@@ -54,7 +54,7 @@ def trend_lines(results: DataFrame, metric: str, skip: tuple[str, str] = ("fnn",
     rows = results.filter(F.col("plm_size").isNotNull() & F.col(metric).isNotNull() & ~F.isnan(metric))
     rows = rows.filter(~((F.col("model_type") == skip[0]) & (F.col("embedding_key") == skip[1])))
     good = rows.groupBy("parameter", "model_type").agg(F.count("*").alias("_n"), F.min("plm_size").alias("_low")).filter("_n >= 2 and _low > 0")
-    fit = line(rows.join(F.broadcast(good), ["parameter", "model_type"], "left_semi"), "plm_size", metric, ["parameter", "model_type"])
+    fit = line(rows.join(good, ["parameter", "model_type"], "left_semi"), "plm_size", metric, ["parameter", "model_type"])
     return fit.select("parameter", "model_type", "n", F.round(F.col("slope") * 1e9, 6).alias("slope_per_1b"), F.round("r2", 6).alias("r2"), F.round("p_value", 6).alias("p_value"))
 
 
