@@ -215,6 +215,20 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chu
     return plain.unionByName(stitched).withColumnRenamed("_key", key)
 
 
+def decode(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """`key`, `text` of every row: the raw bytes of its ids joined, so ids of a whole text give the text back exactly.
+    Null and empty lists give an empty text; bytes that are no UTF-8, as in a cut list, become replacement characters."""
+    rows = df.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for b in batches:
+            yield _rows({"_key": b.column(0), "text": pa.array([enc.decode(x.as_py() or []) for x in b.column(1)], pa.string())})
+
+    return rows.mapInArrow(run, f"_key {kind}, text string").withColumnRenamed("_key", key)
+
+
 def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

@@ -54,6 +54,8 @@ def test_encode_in_spark(spark, enc):
         assert len(rows) == len(texts) and {r.doc_id: r.ids for r in rows} == want
     assert {r.doc_id: r.n_tokens for r in token_counts(df, "doc_id", "text").collect()} == {k: len(v) for k, v in want.items()}
     assert encode(df.limit(0), "doc_id", "text").count() == 0
+    back = {r.doc_id: r.text for r in tokens.decode(encode(df, "doc_id", "text", chunk_chars=700, overlap_chars=40), "doc_id", "ids").collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
 @settings(max_examples=100, deadline=None)
