@@ -61,7 +61,8 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor only costs the tasks it ran.
 
-    Tables that the returned DataFrame still reads stay; `drop` removes the others as soon as they are used up.
+    `drop` removes tables as soon as they are used up; those that the returned DataFrame still reads go when the
+    application ends.
     """
 
     def __init__(self, spark: SparkSession, job: str):
@@ -73,17 +74,24 @@ class Scratch:
         self._count += 1
         path = f"{self.base}/{self._count:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if self._count == 1:
+            fs, base = self._at(self.base)
+            fs.deleteOnExit(base)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete saved tables."""
         for t in tables:
             path = getattr(t, "_scratch_path", None)
             if path:
-                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                fs, target = self._at(path)
+                fs.delete(target, True)
 
 
 def default_parallelism(spark: SparkSession) -> int:
