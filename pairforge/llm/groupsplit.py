@@ -184,4 +184,6 @@ def protein_split(pairs: DataFrame, clusters: DataFrame, shares: dict[str, float
     seen = edges.select(F.explode(F.array("a", "b")).alias("record"), F.lit(1).alias("bit")).unionByName(held.select("record", F.lit(2).alias("bit")))
     records = seen.groupBy("record").agg(F.bit_or("bit").cast("string").alias("label"))
     done = split_groups(records, memberships.unionByName(held.filter(F.col("entity").isNotNull())), shares)
+    # What is returned reads the tables of split_groups only.
+    work.drop(edges, held)
     return done.withColumnRenamed("record", "protein")
