@@ -84,6 +84,7 @@ def table_diff(
     version: str,
     tolerance: dict[str, float] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Rows missing on either side and cells whose values differ.
 
@@ -91,11 +92,12 @@ def table_diff(
     strings. Numbers differ if they are more than the field's tolerance apart; a null differs from a value and equals
     a null. Null keys are values like others. Repeated keys count once, by `latest_rows`. Empty tables give the rows of
     the other side; extra columns are ignored, whatever their names. A bucket holds about `rows_per_bucket` distinct
-    keys: the number of buckets follows the number of rows and no bucket grows with the data.
+    keys: the number of buckets follows the number of rows and no bucket grows with the data. `n_rows`, a bound of the
+    rows of both copies, saves the pass that counts them.
     """
     keys, fields, tolerance = list(keys), list(fields), dict(tolerance or {})
     a, b = (latest_rows(x.select(*keys, *fields, version), keys, fields, version) for x in (original, copy))
-    total = original.count() + copy.count()
+    total = original.count() + copy.count() if n_rows is None else n_rows
     buckets = max(1, -(-total // rows_per_bucket))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
     a, b = (x.select(bucket, *keys, *fields) for x in (a, b))
@@ -130,4 +132,6 @@ def similarity_copy_diff(original: DataFrame, copy: DataFrame) -> DataFrame:
 
     scores = ["fident", "hfsp", "alntmscore"]
     a, b = (pair_rows(x, "split", *[number_or_null(s).alias(s) for s in scores], "loaded_at") for x in (original, copy))
-    return table_diff(a, b, ["protein_a", "protein_b", "split"], scores, "loaded_at", dict.fromkeys(scores, 0.00005))
+    # The tables' own row counts come from their metadata.
+    n_rows = original.count() + copy.count()
+    return table_diff(a, b, ["protein_a", "protein_b", "split"], scores, "loaded_at", dict.fromkeys(scores, 0.00005), n_rows=n_rows)
