@@ -26,6 +26,8 @@ def query(name: str, sql: str | None = None):
 
 
 COLS = [f"dist_{n}" for n in S.NAMES]
+#: Queries over the stand-ins of hits and vectors that have no SQL.
+STAND_INS = ["dip_stat", "linear_fit", "linear_distance_fit", "fnn_fit"]
 DBL = "::DOUBLE"
 
 # Columns and column pairs.

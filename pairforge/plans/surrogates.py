@@ -10,13 +10,20 @@ from ..session import table
 NAMES = ["m1", "m2", "m3", "m4"]
 
 
+class Whole(str):
+    """A data folder whose hits and vectors are taken whole: every row, ids as they are (`plans/whole.py`)."""
+
+
 def _item(c) -> F.Column:
     return F.concat(F.lit("P"), c.cast("string"))
 
 
 def _hits(spark: SparkSession, sf: str, flags: tuple[str, str]) -> DataFrame:
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin(*flags) & (F.col("l_suppkey") % 5 != 0))
-    return li.groupBy(_item(F.col("l_partkey") % 200).alias("query"), _item((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 200).alias("target"))
+    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin(*flags))
+    query, target = F.col("l_partkey"), F.col("l_suppkey") * 7 + F.col("l_linenumber")
+    if not isinstance(sf, Whole):
+        li, query, target = li.filter(F.col("l_suppkey") % 5 != 0), query % 200, target % 200
+    return li.groupBy(_item(query).alias("query"), _item(target).alias("target"))
 
 
 def seq_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +46,9 @@ HFSP_SQL = """CASE WHEN nident + mismatch <= 11 THEN fident * 100 - 100 WHEN nid
 
 def vector_stores(spark: SparkSession, sf: str) -> DataFrame:
     """Four stores of 16 components each; m2 lacks every tenth item."""
-    e = table(spark, sf, "embeddings").filter(F.col("vec_id") < 200)
+    e = table(spark, sf, "embeddings")
+    if not isinstance(sf, Whole):
+        e = e.filter(F.col("vec_id") < 200)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("embedding_name"), F.slice("embedding", 16 * i + 1, 16).alias("embedding")) for i, n in enumerate(NAMES)])).alias("s")
     return e.select(_item(F.col("vec_id")).alias("id"), "vec_id", each).select("id", "vec_id", "s.*").filter(~((F.col("embedding_name") == "m2") & (F.col("vec_id") % 10 == 0))).drop("vec_id")
 
@@ -54,6 +63,22 @@ PAIRS = WIDE + ", cp AS (" + " UNION ALL ".join(
     f"SELECT 'dist_{a}' AS col_a, 'dist_{b}' AS col_b, dist_{a} AS x, dist_{b} AS y FROM wide WHERE dist_{a} IS NOT NULL AND dist_{b} IS NOT NULL" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]) + ")"
 
 
+def whole_sql(sql: str) -> str:
+    """`sql` over the hits and vectors of `Whole`."""
+    for cut, whole in ((SEQ, SEQ_WHOLE), (STRUCT, STRUCT_WHOLE), (STORES, STORES_WHOLE)):
+        sql = sql.replace(cut, whole)
+    return sql
+
+
+def _uncut(part: str) -> str:
+    for cut in (" AND l_suppkey % 5 <> 0", "vec_id < 200 AND ", " % 200"):
+        part = part.replace(cut, "")
+    return part
+
+
+SEQ_WHOLE, STRUCT_WHOLE, STORES_WHOLE = _uncut(SEQ), _uncut(STRUCT), _uncut(STORES)
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50.0).alias("truth"), (F.col("l_quantity") / 50.0 + (F.col("l_discount") - 0.05)).alias("prediction"))
