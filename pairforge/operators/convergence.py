@@ -61,6 +61,20 @@ def sampled_distances(vectors: DataFrame, key: str, vector: str, cells: Sequence
     return at.join(side("i"), "i").join(side("j"), "j").select("sample_size", "repetition", "k", "i", "j", euclidean("_i", "_j").alias("distance"))
 
 
+def all_distances(vectors: DataFrame, key: str, vector: str, block: int = 256) -> DataFrame:
+    """`i`, `j`, `distance` of every pair of rows, i < j, numbered from 0 in the order of a unique numeric key.
+
+    Rows go into blocks of `block`; one equi-join on the pair of blocks brings each pair of rows together once, so no
+    row meets the whole table in one task.
+    """
+    numbered = row_numbers(vectors, key).join(vectors.select(key, vector), key)
+    blocks = -(-vectors.count() // block)
+    own = F.floor(F.col("row") / block).cast("int")
+    side = lambda c, x, y: numbered.select(F.col("row").alias(c), F.col(vector).alias(f"_{c}"), own.alias(x), F.explode(F.sequence(*((own, F.lit(blocks - 1)) if y == "_y" else (F.lit(0), own)))).alias(y))
+    pairs = side("i", "_x", "_y").join(side("j", "_y", "_x"), ["_x", "_y"]).filter(F.col("i") < F.col("j"))
+    return pairs.select("i", "j", euclidean("_i", "_j").alias("distance"))
+
+
 def convergence(vectors: DataFrame, key: str, vector: str, sizes: Sequence[int], repetitions: int, reference_size: int, seed: int = 42) -> DataFrame:
     """Per sample size, over repetitions: `mean_error` (of the mean of means), `mean_spread` (population deviation of
     means), mean `wasserstein` and `ks` against a reference sample. All samples are drawn and compared in one pass."""

@@ -5,6 +5,10 @@ The queries of `ingest` and `statistics` keep the small stand-ins of FIXTURES.md
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import convergence
+from ..session import table
 from . import ingest, statistics
 from . import surrogates as S
 
@@ -24,3 +28,7 @@ for _part in (ingest, statistics):
             QUERIES[f"{_name}_whole"] = _on_whole(_f)
             if _sql:
                 SQL[f"{_name}_whole"] = S.whole_sql(_sql)
+
+SQL["all_pair_distances_whole"] = """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+ SELECT a.r AS i, b.r AS j, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.r < b.r"""
+QUERIES["all_pair_distances_whole"] = lambda s, d: convergence.all_distances(table(s, d, "embeddings"), "vec_id", "embedding").withColumn("distance", F.round("distance", 6))

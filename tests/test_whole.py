@@ -2,6 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from pairforge.operators.convergence import all_distances
 from pairforge.plans import catalogue
 
 from .oracle import FOLDER, connect
@@ -49,3 +50,19 @@ def test_no_row_or_vector_is_dropped(spark):
 
 def test_sql_of_whole_queries_has_no_cut():
     assert not [k for k, s in SQL.items() if k.endswith("_whole") and any(x in s for x in ("% 200", "< 200", "l_suppkey % 5"))]
+
+
+def test_all_pairs_of_all_vectors(spark, folder):
+    path, con = folder
+    v = np.array([r[0] for r in con.execute("SELECT embedding FROM embeddings ORDER BY vec_id").fetchall()], np.float64)
+    rows = QUERIES["all_pair_distances_whole"](spark, path).collect()
+    got = {(r.i, r.j): r.distance for r in rows}
+    assert len(rows) == len(got) == 420 * 419 // 2
+    assert all(abs(d - np.linalg.norm(v[i] - v[j])) <= 1e-6 for (i, j), d in got.items())
+
+
+def test_all_pairs_of_small_blocks(spark):
+    for n in (0, 1, 2, 7, 9):
+        df = spark.createDataFrame([(3 * i, [float(i), 0.0]) for i in range(n)], "vec_id bigint, embedding array<double>")
+        got = sorted((r.i, r.j, r.distance) for r in all_distances(df, "vec_id", "embedding", block=3).collect())
+        assert got == [(i, j, float(j - i)) for i in range(n) for j in range(i + 1, n)]
