@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import convergence
+from ..functions.ids import accession
+from ..operators import convergence, merge
 from ..session import table
 from . import ingest, statistics
 from . import surrogates as S
+from .copies import acc_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,7 +25,7 @@ def _on_whole(f):
 for _part in (ingest, statistics):
     for _name, _f in _part.QUERIES.items():
         _sql = _part.SQL.get(_name)
-        # keep_ids has a list of ids of its own.
+        # keep_ids_whole has a list of ids of its own, below.
         if _name != "keep_ids" and (_name in statistics.STAND_INS if _sql is None else any(x in _sql for x in (S.SEQ, S.STRUCT, S.STORES))):
             QUERIES[f"{_name}_whole"] = _on_whole(_f)
             if _sql:
@@ -32,3 +34,14 @@ for _part in (ingest, statistics):
 SQL["all_pair_distances_whole"] = """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
  SELECT a.r AS i, b.r AS j, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.r < b.r"""
 QUERIES["all_pair_distances_whole"] = lambda s, d: convergence.all_distances(table(s, d, "embeddings"), "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+def keep_ids_whole(s, d):
+    """Rows of the pair table both of whose proteins are members of a cluster."""
+    rows = table(s, d, "merged_protein_similarity").select("pair_id", accession("query").alias("query"), accession("target").alias("target"))
+    return merge.keep_ids(rows, table(s, d, "cluster_members").select(accession("member").alias("id")).distinct())
+
+
+QUERIES["keep_ids_whole"] = keep_ids_whole
+SQL["keep_ids_whole"] = f"""WITH k AS (SELECT DISTINCT {acc_sql('member')} AS id FROM cluster_members), r AS (SELECT pair_id, {acc_sql('query')} AS query, {acc_sql('target')} AS target FROM merged_protein_similarity)
+ SELECT pair_id, query, target FROM r WHERE query IN (SELECT id FROM k WHERE id IS NOT NULL) AND target IN (SELECT id FROM k WHERE id IS NOT NULL)"""

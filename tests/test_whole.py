@@ -66,3 +66,14 @@ def test_all_pairs_of_small_blocks(spark):
         df = spark.createDataFrame([(3 * i, [float(i), 0.0]) for i in range(n)], "vec_id bigint, embedding array<double>")
         got = sorted((r.i, r.j, r.distance) for r in all_distances(df, "vec_id", "embedding", block=3).collect())
         assert got == [(i, j, float(j - i)) for i in range(n) for j in range(i + 1, n)]
+
+
+def test_keep_list_is_every_cluster_member(spark, tmp_path):
+    names = [f"A{i:07d}" for i in range(300)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE m AS SELECT unnest(?) AS member", [[*names[:250], names[0], None, f"sp|{names[250]}|X"]])
+    con.execute("CREATE TABLE p AS SELECT unnest(range(303)) AS pair_id, unnest(?) AS query, unnest(?) AS target", [[*names, None, "", names[0]], [*names[::-1], names[0], names[0], names[0]]])
+    con.execute(f"COPY m TO '{tmp_path}/cluster_members.parquet' (FORMAT parquet)")
+    con.execute(f"COPY p TO '{tmp_path}/merged_protein_similarity.parquet' (FORMAT parquet)")
+    got = sorted((r.pair_id, r.query, r.target) for r in QUERIES["keep_ids_whole"](spark, str(tmp_path)).collect())
+    assert got == [*((i, names[i], names[299 - i]) for i in range(49, 251)), (302, names[0], names[0])]
