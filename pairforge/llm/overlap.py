@@ -109,7 +109,7 @@ def cross_split_pairs(rows: DataFrame, step: float = FIDENT_STEP) -> DataFrame:
     `rows`: `pair_id`, `protein_a`, `protein_b` (the smaller first), `fident`, `split`, `source`. A record's text is
     its two accessions; evaluation records whose text is covered whole by a training text have the same proteins.
     Scores are then compared exactly: at most `step` apart, or missing (null or NaN) on both sides. Each score goes to
-    a cell of width `step` and visits its neighbours, so a pair of proteins with very many rows is spread by score.
+    a cell a little wider than `step` and visits its neighbours, so a pair of proteins with very many rows is spread by score.
     Rows with a missing end don't count, repeated rows do. Returns `eval_id`, `train_id`, `eval_split`, `eval_source`.
     """
     text = F.concat(F.lit(" "), F.col("protein_a"), F.lit(" "), F.col("protein_b"), F.lit(" "))
@@ -120,7 +120,8 @@ def cross_split_pairs(rows: DataFrame, step: float = FIDENT_STEP) -> DataFrame:
     ev, tr = base.filter(F.col("split").isin("val", "test")), base.filter(F.col("split") == "train")
     whole = text_overlaps(ev, tr, words=2).filter((F.col("coverage") == 1) & (F.col("eval_text") == F.col("train_text")))
     shared = whole.select(F.col("eval_text").alias("text"))
-    cell = F.floor(F.col("score") / step).cast("long")
+    # Wider than `near` allows, so scores that are near are never two cells apart, however the division is rounded.
+    cell = F.floor(F.col("score") / (step + 1e-6)).cast("long")
     none = F.lit(-(2**40)).cast("long")
     ev = ev.join(shared, "text", "left_semi").select(
         "text", F.col("pair_id").alias("eval_id"), F.col("score").alias("eval_score"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"),

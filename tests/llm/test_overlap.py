@@ -30,6 +30,14 @@ def test_one_pair_with_most_rows(spark):
     assert pairs(spark, rows) == brute(rows)
 
 
+def test_scores_one_step_apart_at_cell_edges(spark):
+    rows = [(i, f"A{i // 2}", "B", f / 100, "train" if i % 2 else "val", "s") for i, f in enumerate(x for k in (29, 47, 59, 94) for x in (k, k + 1, k + 1, k))]
+    assert pairs(spark, rows) == brute(rows) == [(i, i + 1) for i in range(0, 16, 2)]
+    steps = [(i, "A", "B", i / 200, "train" if i % 2 else "val", "s") for i in range(201)]
+    steps += [(i + 1000, "A", "B", i / 100, "test" if i % 2 else "train", "s") for i in range(101)]
+    assert pairs(spark, steps) == brute(steps)
+
+
 def test_empty_and_one_sided(spark):
     assert pairs(spark, []) == []
     assert pairs(spark, [(1, "A", "B", 0.5, "val", None)]) == []
