@@ -140,24 +140,27 @@ def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, f
     grouped = records.join(label, "record", "left").select("record", F.coalesce("group_id", "record").alias("group_id"), F.coalesce("label", F.lit("")).alias("label"))
     grouped = work.save(grouped, "grouped")
     work.drop(label)
-    by_label = grouped.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
+    by_label = grouped.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS + 1).collect()
     if not by_label:
         return grouped.select("record", "group_id", F.lit(None).cast("string").alias("split"))
-    labels = [r["label"] for r in by_label]
+    labels = [r["label"] for r in by_label[:MOST_LABELS]]
+    # All other labels share one further column.
+    columns = range(len(by_label))
     total = grouped.count()
-    counts = grouped.groupBy("group_id", "label").agg(F.count("*").alias("n"))
-    index = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")), F.lit(len(labels))).cast("int") - 1
-    vector = [F.sum(F.when(index == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(labels))]
+    at = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")), F.lit(0)), F.lit(len(labels) + 1)).cast("int") - 1
+    counts = grouped.groupBy("group_id", at.alias("index")).agg(F.count("*").alias("n"))
+    index = F.col("index")
+    vector = [F.sum(F.when(index == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in columns]
     groups = counts.groupBy("group_id").agg(F.sum("n").alias("n"), F.max_by(index, F.struct("n", -index)).alias("main"), *vector)
     groups = work.save(groups, "groups")
     large = F.col("n") > max(1.0, total * LARGE_SHARE)
     cell = F.concat_ws("/", "main", F.pmod(F.xxhash64("group_id", F.lit(seed)), F.lit(CELLS)))
     unit = F.when(large, F.concat(F.lit("g"), "group_id")).otherwise(cell)
-    # At most 1 / LARGE_SHARE groups and MOST_LABELS * CELLS cells.
-    units = groups.groupBy(unit.alias("unit")).agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(labels))]).orderBy(F.desc("n"), "unit").collect()
+    # At most 1 / LARGE_SHARE groups and (MOST_LABELS + 1) * CELLS cells.
+    units = groups.groupBy(unit.alias("unit")).agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in columns]).orderBy(F.desc("n"), "unit").collect()
     names = list(shares)
     weights = np.array([shares[s] for s in names], float)
-    chosen = place(np.array([[r[f"n{i}"] for i in range(len(labels))] for r in units], np.float64), weights / weights.sum())
+    chosen = place(np.array([[r[f"n{i}"] for i in columns] for r in units], np.float64), weights / weights.sum())
     plan = spark.createDataFrame([(r["unit"], names[c]) for r, c in zip(units, chosen)], "unit string, split string")
     placed = groups.select("group_id", unit.alias("unit")).join(F.broadcast(plan), "unit").select("group_id", "split")
     return grouped.join(placed, "group_id").select("record", "group_id", "split")

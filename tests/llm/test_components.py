@@ -79,6 +79,18 @@ def test_groups_stay_whole_and_shares_hold(spark):
     assert a.split.value_counts(normalize=True)["val"] == pytest.approx(0.1, abs=0.02)
 
 
+def test_rare_labels_are_balanced_together(spark):
+    # 64 labels of two records have columns of their own, 1,000 labels of one share one.
+    labels = [f"m{i % 64:02}" for i in range(128)] + [f"r{i:03}" for i in range(1000)]
+    records = spark.createDataFrame([(f"r{i:04}", x) for i, x in enumerate(labels)], "record string, label string")
+    members = spark.createDataFrame([(f"r{i:04}", f"e{i // 2}") for i in range(128, 1128)], "record string, entity string")
+    done = split_groups(records, members, {"train": 8, "val": 1, "test": 1}).toPandas()
+    assert len(done) == 1128 and done.groupby("group_id").split.nunique().max() == 1
+    rare = done[done.record >= "r0128"].split.value_counts(normalize=True)
+    # Groups of two are placed before the rest and towards the shares of all records too, hence the margin.
+    assert [rare.get(s, 0) for s in ("train", "val", "test")] == pytest.approx([0.8, 0.1, 0.1], abs=0.04)
+
+
 def test_placement_minimises_deviation():
     out = place(np.array([[60.0, 0], [0, 60], [20, 0], [0, 20], [20, 0], [0, 20]]), [0.6, 0.2, 0.2])
     sums = {s: sum(np.array([[60.0, 0], [0, 60], [20, 0], [0, 20], [20, 0], [0, 20]])[out == s]) for s in range(3)}
