@@ -250,7 +250,7 @@ query("linear_distance_fit")(_linear("linear_distance"))
 @query("fnn_fit")
 def fnn_fit(s, d):
     pairs = _with_vectors(s, d)
-    net = learn.fit_network(pairs, ["query", "target"], "a", "b", "fident", epochs=5)
+    net = learn.fit_network(pairs, ["query", "target"], "a", "b", "fident")
     return learn.predict_network(net, pairs, "a", "b", ["query", "target"])
 
 

@@ -2,6 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from pairforge.operators import learn
 from pairforge.operators.convergence import all_distances
 from pairforge.plans import catalogue
 
@@ -77,3 +78,17 @@ def test_keep_list_is_every_cluster_member(spark, tmp_path):
     con.execute(f"COPY p TO '{tmp_path}/merged_protein_similarity.parquet' (FORMAT parquet)")
     got = sorted((r.pair_id, r.query, r.target) for r in QUERIES["keep_ids_whole"](spark, str(tmp_path)).collect())
     assert got == [*((i, names[i], names[299 - i]) for i in range(49, 251)), (302, names[0], names[0])]
+
+
+def test_network_trains_to_its_stop(spark, monkeypatch):
+    seen = []
+
+    def train(*args, **options):
+        seen.append(train_network(*args, **options))
+        return seen[-1]
+
+    train_network = learn.train_network
+    monkeypatch.setattr(learn, "train_network", train)
+    QUERIES["fnn_fit"](spark, FOLDER)
+    losses = seen[0][1]
+    assert len(losses) == 60 or len(losses) > 5 and min(losses[-5:]) >= min(losses[:-5]) - 1e-6
