@@ -21,7 +21,7 @@ from ..session import Scratch, default_parallelism
 #: Words of a passage, and of the anchor by which it is sharded.
 PASSAGE_WORDS = 5
 ANCHOR_WORDS = 2
-#: Passages that one automaton holds at most on average; an automaton flushes and starts anew beyond four times as many.
+#: Passages that one automaton holds at most on average; a shard of more than four times as many is cut into blocks.
 SHARD_PASSAGES = 50_000
 
 
@@ -62,18 +62,33 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(found, pa.string())], names=["train_text", "passage"])
 
 
+def _lanes(needles: DataFrame, visits: DataFrame, shard_passages: int) -> DataFrame:
+    """`shard`, `is_text`, `value`: passages and texts by shard. A shard of too many passages becomes blocks by the hash of the
+    passage, which all texts of the shard meet; at most one in 4 * `shard_passages` passages is a row on the driver."""
+    large = needles.groupBy("shard").count().filter(F.col("count") > 4 * shard_passages).collect()
+    if large:
+        sizes = F.broadcast(needles.sparkSession.createDataFrame([(r["shard"], -(-r["count"] // shard_passages)) for r in large], "shard int, blocks int"))
+        blocks = F.coalesce("blocks", F.lit(1))
+        block = F.col("shard").cast("long") * 2**31
+        needles = needles.join(sizes, "shard", "left").select((block + F.pmod(F.xxhash64("value", F.lit(1)), blocks)).alias("shard"), "is_text", "value")
+        visits = visits.join(sizes, "shard", "left").select(F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: block + i)).alias("shard"), "is_text", "value")
+    return needles.unionByName(visits)
+
+
 def text_overlaps(evaluation: DataFrame, training: DataFrame, words: int = PASSAGE_WORDS, anchor_words: int = ANCHOR_WORDS, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
     """`eval_text`, `train_text`, `covered`, `coverage` of every pair of distinct texts that share a passage.
 
     Both inputs have one column `text` of normalised texts, words between single spaces and a space at either end; repeated texts count once and null texts are skipped.
     `covered` counts the characters of the evaluation text inside matched intervals, overlapping ones merged;
     `coverage` is their share of the text. A text of fewer words than a passage is found whole or not at all. The
-    number of shards follows the number of passages, so an automaton's size doesn't grow with the data.
+    number of shards follows the number of passages, and a shard whose anchor is too frequent is cut into blocks, so an
+    automaton's size doesn't grow with the data.
     """
     ev = evaluation.select("text").filter(F.col("text").isNotNull()).distinct()
     tr = training.select("text").filter(F.col("text").isNotNull()).distinct()
     cut = passages(ev, words)
-    count = evaluation.count()
+    # Runs of `words` words, repeated ones included.
+    count = ev.agg(F.sum(F.greatest(F.size(F.split(F.trim("text"), " ")) - words + 1, F.lit(1)))).first()[0] or 0
     shards = max(default_parallelism(evaluation.sparkSession), -(-count // shard_passages))
     parts = min(shards, 2000)
     shard_of = lambda gram: F.pmod(F.xxhash64(gram), F.lit(shards)).cast("int")
@@ -85,7 +100,7 @@ def text_overlaps(evaluation: DataFrame, training: DataFrame, words: int = PASSA
         places = F.concat(*[_grams(parts_of, i) for i in range(1, anchor_words + 1)])
     needles = cut.select(F.col("passage").alias("value")).distinct().select(shard_of(anchor[0]).alias("shard"), F.lit(False).alias("is_text"), "value")
     visits = tr.select(F.col("text").alias("value")).select(F.explode(F.array_distinct(F.transform(places, shard_of))).alias("shard"), F.lit(True).alias("is_text"), "value")
-    lanes = needles.unionByName(visits).repartition(parts, "shard").sortWithinPartitions("shard", "is_text")
+    lanes = _lanes(needles, visits, shard_passages).repartition(parts, "shard").sortWithinPartitions("shard", "is_text")
     hits = lanes.mapInArrow(_scan, "train_text string, passage string").distinct()
     spans = cut.join(hits, "passage").select(F.col("text").alias("eval_text"), "train_text", "start", (F.col("start") + F.length("passage")).alias("end"))
     if words <= anchor_words:

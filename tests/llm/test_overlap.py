@@ -1,6 +1,7 @@
 import math
 import random
 
+from pairforge.llm import overlap
 from pairforge.llm.overlap import cross_split_pairs, text_overlaps
 
 ROW = "pair_id bigint, protein_a string, protein_b string, fident double, split string, source string, text string, cell int"
@@ -64,3 +65,16 @@ def test_merged_intervals_of_longer_texts(spark):
         got = {(r.eval_text, r.train_text): (r.covered, r.coverage) for r in text_overlaps(*frames, shard_passages=shard).collect()}
         assert {k: c for k, (c, _) in got.items()} == want
         assert all(abs(s - c / len(e)) < 1e-12 for (e, _), (c, s) in got.items())
+
+
+def test_automata_stay_bounded(spark, monkeypatch):
+    """One long text, a third of whose passages share their anchor."""
+    seen = []
+    monkeypatch.setattr(overlap, "_lanes", lambda *a, f=overlap._lanes: seen.append(f(*a)) or seen[-1])
+    ev = " " + " ".join(f"a a x{i}" for i in range(300)) + " "
+    tr = [ev, " " + " ".join(f"a a x{i}" for i in range(100, 130)) + " ", " x5 a a x6 a ", " none of them here at all "]
+    frames = [spark.createDataFrame([(x,) for x in y], "text string") for y in ([ev], tr)]
+    got = {r.train_text: r.covered for r in text_overlaps(*frames, shard_passages=10).collect()}
+    assert got == {t: c for t in tr if (c := covered(ev, t, 5))} and len(got) == 3
+    sizes = [r["count"] for r in seen[0].filter("not is_text").groupBy("shard").count().collect()]
+    assert sum(sizes) == 896 and max(sizes) <= 40
