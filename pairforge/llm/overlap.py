@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -91,6 +91,8 @@ def text_overlaps(evaluation: DataFrame, training: DataFrame, words: int = PASSA
     count = ev.agg(F.sum(F.greatest(F.size(F.split(F.trim("text"), " ")) - words + 1, F.lit(1)))).first()[0] or 0
     shards = max(default_parallelism(evaluation.sparkSession), -(-count // shard_passages))
     parts = min(shards, 2000)
+    # An anchor is never longer than a passage, so a passage's anchor is among those of every text that contains it.
+    anchor_words = min(anchor_words, words)
     shard_of = lambda gram: F.pmod(F.xxhash64(gram), F.lit(shards)).cast("int")
     parts_of = F.split(F.trim("value"), " ")
     anchor = _grams(parts_of, anchor_words)
@@ -103,45 +105,97 @@ def text_overlaps(evaluation: DataFrame, training: DataFrame, words: int = PASSA
     lanes = _lanes(needles, visits, shard_passages).repartition(parts, "shard").sortWithinPartitions("shard", "is_text")
     hits = lanes.mapInArrow(_scan, "train_text string, passage string").distinct()
     spans = cut.join(hits, "passage").select(F.col("text").alias("eval_text"), "train_text", "start", (F.col("start") + F.length("passage")).alias("end"))
-    if words <= anchor_words:
-        # Texts of at most one passage: an interval is the whole text.
-        merged = spans.select("eval_text", "train_text", (F.col("end") - F.col("start")).alias("covered"))
-    else:
-        seen = Window.partitionBy("eval_text", "train_text").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-        fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(seen), F.lit(0))), F.lit(0))
-        merged = spans.withColumn("fresh", fresh).groupBy("eval_text", "train_text").agg(F.sum("fresh").cast("int").alias("covered"))
+    seen = Window.partitionBy("eval_text", "train_text").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(seen), F.lit(0))), F.lit(0))
+    merged = spans.withColumn("fresh", fresh).groupBy("eval_text", "train_text").agg(F.sum("fresh").cast("int").alias("covered"))
     return merged.withColumn("coverage", F.col("covered") / F.length("eval_text"))
 
 
 #: Values of fident that differ by this or less are nearly the same; the addend is for decimal steps in binary.
 FIDENT_STEP = 0.01
 ROUNDING = 1e-9
+#: Rows of one pair of proteins and cell that meet in one task; more are cut into blocks.
+BLOCK_ROWS = 5_000
 
 
-def cross_split_pairs(rows: DataFrame, step: float = FIDENT_STEP) -> DataFrame:
-    """Pairs of a training row and an evaluation row with the same two proteins and the same or nearly the same score.
+def _near(step: float) -> Column:
+    return (F.abs(F.col("eval_score") - F.col("train_score")) <= step + ROUNDING) | (F.col("eval_score").isNull() & F.col("train_score").isNull())
 
-    `rows`: `pair_id`, `protein_a`, `protein_b` (the smaller first), `fident`, `split`, `source`. A record's text is
-    its two accessions; evaluation records whose text is covered whole by a training text have the same proteins.
-    Scores are then compared exactly: at most `step` apart, or missing (null or NaN) on both sides. Each score goes to
-    a cell a little wider than `step` and visits its neighbours, so a pair of proteins with very many rows is spread by score.
-    Rows with a missing end don't count, repeated rows do. Returns `eval_id`, `train_id`, `eval_split`, `eval_source`.
+
+def _cells(step: float) -> tuple[Column, Column]:
+    """The cell of `score`, and the cells in which scores near to it may be; rows without a score have a cell of their own.
+
+    Cells are a little wider than `step`, so scores that are near are never two cells apart, however the division is rounded.
+    """
+    cell = F.floor(F.col("score") / (step + 1e-6)).cast("long")
+    none = F.lit(-(2**40)).cast("long")
+    return F.coalesce(cell, none), F.when(F.col("score").isNull(), F.array(none)).otherwise(F.array(cell - 1, cell, cell + 1))
+
+
+def _records(rows: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evaluation rows, training rows, and the pairs (`eval_text`, `train_text`) of texts of which the first lies whole in the second.
+
+    A record's text is its two accessions, white space inside them aside.
     """
-    text = F.concat(F.lit(" "), F.col("protein_a"), F.lit(" "), F.col("protein_b"), F.lit(" "))
+    word = lambda c: F.regexp_replace(c, r"\s+", "_")
+    text = F.concat(F.lit(" "), word("protein_a"), F.lit(" "), word("protein_b"), F.lit(" "))
     score = F.when(~F.isnan("fident"), F.col("fident"))
     base = rows.filter(F.col("protein_a").isNotNull() & F.col("protein_b").isNotNull())
-    base = base.filter(F.col("split").isin("train", "val", "test")).select("pair_id", text.alias("text"), score.alias("score"), "split", "source")
-    base = Scratch(rows.sparkSession, "overlap").save(base, "records")
+    base = base.filter(F.col("split").isin("train", "val", "test")).select("pair_id", "protein_a", "protein_b", text.alias("text"), score.alias("score"), "split", "source")
+    base = work.save(base, "records")
     ev, tr = base.filter(F.col("split").isin("val", "test")), base.filter(F.col("split") == "train")
-    whole = text_overlaps(ev, tr, words=2).filter((F.col("coverage") == 1) & (F.col("eval_text") == F.col("train_text")))
-    shared = whole.select(F.col("eval_text").alias("text"))
-    # Wider than `near` allows, so scores that are near are never two cells apart, however the division is rounded.
-    cell = F.floor(F.col("score") / (step + 1e-6)).cast("long")
-    none = F.lit(-(2**40)).cast("long")
-    ev = ev.join(shared, "text", "left_semi").select(
-        "text", F.col("pair_id").alias("eval_id"), F.col("score").alias("eval_score"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"),
-        F.explode(F.when(F.col("score").isNull(), F.array(none)).otherwise(F.array(cell - 1, cell, cell + 1))).alias("cell"),
-    )
-    tr = tr.join(shared, "text", "left_semi").select("text", F.col("pair_id").alias("train_id"), F.col("score").alias("train_score"), F.coalesce(cell, none).alias("cell"))
-    near = (F.abs(F.col("eval_score") - F.col("train_score")) <= step + ROUNDING) | (F.col("eval_score").isNull() & F.col("train_score").isNull())
-    return ev.join(tr, ["text", "cell"]).filter(near).select("eval_id", "train_id", "eval_split", "eval_source")
+    whole = text_overlaps(ev, tr, words=2).filter("coverage = 1").select("eval_text", "train_text")
+    return ev, tr, whole
+
+
+#: Texts that overlap may still be of other proteins: one text inside a longer one, or white space inside a name.
+_SAME = "eval_a = train_a AND eval_b = train_b"
+
+
+def cross_split_pairs(rows: DataFrame, step: float = FIDENT_STEP, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs of a training row and an evaluation row with the same two proteins and the same or nearly the same score.
+
+    `rows`: `pair_id`, `protein_a`, `protein_b` (the smaller first), `fident`, `split`, `source`. A record's text is
+    its two accessions. Evaluation rows meet the training rows of the texts that cover theirs whole; proteins and
+    scores are then compared exactly: scores at most `step` apart, or missing (null or NaN) on both sides. Each score
+    goes to a cell and visits its neighbours; of a pair of proteins with more than `block_rows` training rows in a cell
+    those are cut into blocks which every evaluation row of the cell visits, so no task joins all rows of a hot pair.
+    Rows with a missing end don't count, repeated rows do. Returns `eval_id`, `train_id`, `eval_split`, `eval_source`.
+    """
+    work = Scratch(rows.sparkSession, "overlap")
+    ev, tr, whole = _records(rows, work)
+    own, visited = _cells(step)
+    ev = ev.select(F.col("text").alias("eval_text"), F.col("pair_id").alias("eval_id"), F.col("protein_a").alias("eval_a"), F.col("protein_b").alias("eval_b"),
+                   F.col("score").alias("eval_score"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"), visited.alias("cells"))
+    ev = ev.join(whole, "eval_text").withColumn("cell", F.explode("cells")).drop("cells", "eval_text")
+    tr = tr.select(F.col("text").alias("train_text"), F.col("pair_id").alias("train_id"), F.col("protein_a").alias("train_a"), F.col("protein_b").alias("train_b"), F.col("score").alias("train_score"), own.alias("cell"))
+    at = ["train_text", "cell"]
+    full = work.save(tr.groupBy(*at).count().filter(F.col("count") > block_rows).select(*at, F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")), "full")
+    n_full = full.count()
+    if n_full:
+        # At most rows / block_rows cells are full; broadcast only when few.
+        full = F.broadcast(full) if n_full <= 10_000 else full
+        blocks = F.coalesce("blocks", F.lit(1))
+        tr = tr.join(full, at, "left").withColumn("block", F.pmod(F.xxhash64("train_id"), blocks).cast("int")).drop("blocks")
+        ev = ev.join(full, at, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+        at = [*at, "block"]
+    return ev.join(tr, at).filter(_SAME).filter(_near(step)).select("eval_id", "train_id", "eval_split", "eval_source")
+
+
+def cross_split_classes(rows: DataFrame, step: float = FIDENT_STEP) -> DataFrame:
+    """The same overlaps by class, without a row per link: `protein_a`, `protein_b`, `score`, `split`, `source`,
+    `eval_rows` and `train_rows`, the training rows that each of the class's evaluation rows meets.
+
+    A class is all evaluation rows of one pair of proteins with one score, split and source. Training rows count by
+    score before they meet, so a hot pair costs its distinct scores, not its rows. Rows that meet none give no class.
+    """
+    work = Scratch(rows.sparkSession, "overlap")
+    ev, tr, whole = _records(rows, work)
+    own, visited = _cells(step)
+    ev = ev.groupBy(F.col("text").alias("eval_text"), F.col("protein_a").alias("eval_a"), F.col("protein_b").alias("eval_b"), "score", "split", "source").agg(F.count("*").alias("eval_rows"))
+    ev = ev.join(whole, "eval_text").withColumn("cell", F.explode(visited)).withColumnRenamed("score", "eval_score")
+    tr = tr.groupBy(F.col("text").alias("train_text"), F.col("protein_a").alias("train_a"), F.col("protein_b").alias("train_b"), "score").agg(F.count("*").alias("train_rows"))
+    tr = tr.withColumn("cell", own).withColumnRenamed("score", "train_score")
+    met = ev.join(tr, ["train_text", "cell"]).filter(_SAME).filter(_near(step))
+    keys = [F.col("eval_a").alias("protein_a"), F.col("eval_b").alias("protein_b"), F.col("eval_score").alias("score"), "split", "source", "eval_rows"]
+    return met.groupBy(*keys).agg(F.sum("train_rows").alias("train_rows"))

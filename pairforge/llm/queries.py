@@ -12,7 +12,7 @@ from ..session import table
 from .components import connected_components
 from .groupsplit import protein_split
 from .neighbours import file_neighbours, mutual, search
-from .overlap import cross_split_pairs
+from .overlap import cross_split_classes, cross_split_pairs
 from .packing import fill_containers, usage
 from .pieces import split_texts
 from .tokens import encode, token_counts
@@ -45,19 +45,19 @@ t AS (SELECT i, j FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION B
 SELECT a.i AS vec_id_a, a.j AS vec_id_b FROM t a JOIN t b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j"""
 
 
-def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pair_rows(table(spark, sf_dir, "merged_protein_similarity"), "pair_id", "fident", "split", "source")
-    return cross_split_pairs(rows)
+def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_rows(table(spark, sf_dir, "merged_protein_similarity"), "pair_id", "fident", "split", "source")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cross(spark, sf_dir).select(F.least("eval_id", "train_id").alias("pair_id_a"), F.greatest("eval_id", "train_id").alias("pair_id_b"))
+    pairs = cross_split_pairs(_pair_rows(spark, sf_dir))
+    return pairs.select(F.least("eval_id", "train_id").alias("pair_id_a"), F.greatest("eval_id", "train_id").alias("pair_id_b"))
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation rows that are in the training split too, and the training rows they meet, per split and source."""
-    seen = _cross(spark, sf_dir).groupBy("eval_split", "eval_source", "eval_id").agg(F.count("*").alias("n"))
-    return seen.groupBy(F.col("eval_split").alias("split"), F.col("eval_source").alias("source")).agg(F.count("*").alias("eval_rows"), F.sum("n").alias("row_pairs"))
+    classes = cross_split_classes(_pair_rows(spark, sf_dir))
+    return classes.groupBy("split", "source").agg(F.sum("eval_rows").alias("eval_rows"), F.sum(F.col("eval_rows") * F.col("train_rows")).alias("row_pairs"))
 
 
 _P3 = f"""WITH r AS (SELECT pair_id, least(q, t) AS a, greatest(q, t) AS b, CASE WHEN isnan(fident) THEN NULL ELSE fident END AS f, split, source

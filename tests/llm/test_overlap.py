@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pairforge.llm import overlap
 from pairforge.llm.overlap import cross_split_pairs, text_overlaps
 
@@ -67,6 +69,46 @@ def test_merged_intervals_of_longer_texts(spark):
         assert all(abs(s - c / len(e)) < 1e-12 for (e, _), (c, s) in got.items())
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 4])
+def test_merged_intervals_at_every_width(spark, words):
+    """Narrow passages too: their intervals touch and overlap, and anchors are no longer than they are."""
+    rng = random.Random(words)
+    text = lambda n: " " + " ".join(rng.choice(["ab", "c", "def", "a", "g", "hi"]) for _ in range(n)) + " "
+    ev, tr = [" a b c d ", *(text(rng.randint(1, 12)) for _ in range(25))], [" a b c d ", *(text(rng.randint(1, 50)) for _ in range(25))]
+    want = {(e, t): covered(e, t, words) for e in ev for t in tr if covered(e, t, words)}
+    assert want[" a b c d ", " a b c d "] == 9
+    frames = [spark.createDataFrame([(x,) for x in y], "text string") for y in (ev, tr)]
+    for shard in (50_000, 1):
+        rows = text_overlaps(*frames, words=words, shard_passages=shard).collect()
+        assert len(rows) == len(want) and {(r.eval_text, r.train_text): r.covered for r in rows} == want
+
+
+def test_hot_pair_without_scores_in_blocks(spark):
+    rows = [(i, "A", "B", None if i % 3 else 0.5, ["train", "train", "val", "test"][i % 4], "s") for i in range(240)]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], ROW)
+    got = sorted((r.eval_id, r.train_id) for r in cross_split_pairs(df, block_rows=7).collect())
+    assert got == brute(rows)
+
+
+def test_white_space_inside_names_makes_no_pair(spark):
+    rows = [(1, "A X", "B", 0.5, "val", "s"), (2, "A", "X B", 0.5, "train", "s"), (3, "A_X", "B", 0.5, "train", "s"), (4, "A X", "B", 0.505, "train", "s")]
+    assert pairs(spark, rows) == [(1, 4)]
+
+
+def test_classes_count_what_pairs_list(spark):
+    rng = random.Random(9)
+    rows = [(i, "A", rng.choice("BC"), rng.choice([None, math.nan, 0.5, 0.51, 0.52, 0.3]), rng.choice(["train", "val", "test"]), rng.choice(["s", None])) for i in range(300)]
+    want, linked = {}, {}
+    for e, _ in brute(rows):
+        r = rows[e]
+        k = (r[1], r[2], None if r[3] is None or math.isnan(r[3]) else r[3], r[4], r[5])
+        want[k] = want.get(k, 0) + 1
+        linked.setdefault(k, set()).add(e)
+    got = overlap.cross_split_classes(spark.createDataFrame([(*r, "t", 1) for r in rows], ROW)).collect()
+    assert {(r.protein_a, r.protein_b, r.score, r.split, r.source): r.eval_rows * r.train_rows for r in got} == want
+    assert {(r.protein_a, r.protein_b, r.score, r.split, r.source): r.eval_rows for r in got} == {k: len(v) for k, v in linked.items()}
+
+
 def test_automata_stay_bounded(spark, monkeypatch):
     """One long text, a third of whose passages share their anchor."""
     seen = []
