@@ -50,6 +50,22 @@ def test_long_chain_and_hot_vertex(spark):
     assert groups(spark, edges, task_edges=30) == brute(edges)
 
 
+def test_ordered_chain_ends_in_logarithmic_rounds(spark, monkeypatch):
+    """Neighbours lie in different partitions; whichever vertex became the root by its name, nothing would shrink."""
+    saved = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, f=Scratch.save: saved.append(name) or f(self, df, name))
+    n = 100_000
+    df = spark.range(n).selectExpr("lpad(id, 9, '0') as a", "lpad(id + 1, 9, '0') as b").repartition(8, "a")
+    out = connected_components(df, "a", "b", task_edges=2_000)
+    assert [tuple(r) for r in out.groupBy("group_id").count().collect()] == [("0" * 9, n + 1)]
+    assert 3 <= saved.count("forest") <= 12
+
+
+def test_isolated_trees_keep_their_smallest_name(spark):
+    edges = [(f"t{i}", f"t{i}-{j}") for i in range(40) for j in range(5)] + [(f"t{i}", f"t{i + 1}") for i in range(0, 20, 2)] + [("z", "a0"), ("z", "y")]
+    assert groups(spark, edges, task_edges=3) == brute(edges)
+
+
 def test_no_edges(spark):
     assert groups(spark, []) == {}
     assert groups(spark, [(None, None)]) == {}
