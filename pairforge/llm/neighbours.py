@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from ..functions.ids import canonical_path
 from ..session import Scratch, default_parallelism
 
-TABLES = 4
+#: Least chance that a pair of the least similarity asked for is found, whatever the number of vectors.
+RECALL = 0.995
 WIDTH = 2.0
 #: Vectors that a bucket should hold if all were unrelated, and the chance that one function keeps two such together.
 BUCKET_ROWS = 256
 FAR_TOGETHER = 0.486
+#: Rows of buckets that one task meets on average.
+LANE_COPIES = 400_000
 #: Stored vectors that one block of a bucket holds; fuller buckets are split into blocks that each visitor meets.
 BLOCK_ROWS = 20_000
 SEED = 20_24
@@ -37,10 +40,6 @@ def functions_per_table(rows: int) -> int:
     return max(2, round(math.log(max(rows, 1) / BUCKET_ROWS) / -math.log(FAR_TOGETHER))) if rows > BUCKET_ROWS else 2
 
 
-def probes_per_table(functions: int) -> int:
-    return max(4, 2 * functions - 7)
-
-
 @lru_cache(maxsize=64)
 def probe_sets(functions: int, probes: int) -> tuple[tuple[int, ...], ...]:
     """Sets of places in the ascending order of boundary distances, by expected sum of squared distances."""
@@ -62,6 +61,42 @@ def probe_sets(functions: int, probes: int) -> tuple[tuple[int, ...], ...]:
     return tuple(found)
 
 
+#: Numbers of visited buckets that are tried for a plan, and simulated pairs.
+PROBES = (2, 4, 6, 8, 12, 16, 24, 32)
+PAIRS = 4_000
+
+
+def found_per_table(functions: int, probes: int, cosine: float) -> float:
+    """The chance that one table brings a pair of this cosine similarity together, by simulation: projections of two
+    unit vectors differ by a normal number with the vectors' distance as its deviation, whatever their length."""
+    rng = np.random.default_rng([SEED, functions, probes])
+    a = rng.uniform(size=(PAIRS, functions))
+    b = a + rng.normal(size=(PAIRS, functions)) * math.sqrt(max(2 - 2 * cosine, 0.0)) / WIDTH
+    step = np.floor(b).astype(np.int64)
+    visited = np.array(sorted(sum(1 << j for j in s) for s in probe_sets(functions, probes)))
+
+    def meets(inside: np.ndarray, step: np.ndarray) -> np.ndarray:
+        order = np.argsort(np.concatenate([inside, 1 - inside], 1), 1)
+        place = np.argsort(order, 1)
+        crossed = np.where(step < 0, place[:, :functions], place[:, functions:])
+        key = np.where(step != 0, np.left_shift(np.int64(1), np.minimum(crossed, 62)), 0).sum(1)
+        return (np.abs(step) <= 1).all(1) & ((key == 0) | np.isin(key, visited))
+
+    return float((meets(a, step) | meets(b - np.floor(b), -step)).mean())
+
+
+@lru_cache(maxsize=1024)
+def plan(functions: int, least: float, recall: float) -> tuple[int, int]:
+    """(probes, tables): the cheapest with which a pair of similarity `least` is found with a chance of `recall`."""
+    best = None
+    for probes in PROBES:
+        miss = 1 - found_per_table(functions, probes, least)
+        tables = 1 if miss <= 1 - recall else math.ceil(math.log(1 - recall) / math.log(miss)) if miss < 1 else 10**6
+        if best is None or tables * (1 + probes) < best[1] * (1 + best[0]):
+            best = (probes, tables)
+    return best
+
+
 def _mixed(values: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +105,7 @@ def _mixed(values: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def buckets(unit: np.ndarray, files: np.ndarray, table: int, functions: int, probes: int, tables: int = TABLES) -> np.ndarray:
+def buckets(unit: np.ndarray, files: np.ndarray, table: int, functions: int, probes: int) -> np.ndarray:
     """Bucket numbers (rows x (1 + probes)): the own bucket, then the visited ones in order."""
     n, dim = unit.shape
     rng = np.random.default_rng([SEED, dim, table, functions])
@@ -105,24 +140,25 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, step.astype(np.float32), np.linalg.norm(unit - code * step[:, None], axis=1).astype(np.float32) + np.float32(1e-6)
 
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, files, unit vectors) of the batch's rows by vector length."""
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(ids, files, functions, unit vectors) of the batch's rows by vector length and number of functions."""
     lists = batch.column(2)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    ids, files = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    for dim in np.unique(lengths):
-        rows = np.nonzero(lengths == dim)[0]
+    ids, files, functions = (batch.column(i).to_numpy() for i in (0, 1, 3))
+    for dim, k in np.unique(np.stack([lengths, functions], 1), axis=0).tolist():
+        rows = np.nonzero((lengths == dim) & (functions == k))[0]
         x = flat[starts[rows][:, None] + np.arange(dim)]
         x /= np.abs(x).max(1)[:, None]
-        yield ids[rows], files[rows], (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+        yield ids[rows], files[rows], k, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
 
 
-def _hasher(functions: int, probes: int, tables: int):
+def _hasher(plans: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, files, unit in _matrices(batch):
+            for ids, files, functions, unit in _matrices(batch):
+                probes, tables = plans[functions]
                 code, step, error = codes(unit)
                 raw = pa.array([c.tobytes() for c in code], pa.binary())
                 for t in range(tables):
@@ -138,11 +174,11 @@ def _hasher(functions: int, probes: int, tables: int):
     return run
 
 
-def _home(functions: int, tables: int):
+def _home(plans: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, files, unit in _matrices(batch):
-                for t in range(tables):
+            for _, files, functions, unit in _matrices(batch):
+                for t in range(plans[functions][1]):
                     yield pa.RecordBatch.from_arrays([pa.array(buckets(unit, files, t, functions, 0)[:, 0])], names=["bucket"])
 
     return run
@@ -224,12 +260,18 @@ def _lane(k: int, least: float, block_rows: int):
 
 
 def _cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both vectors of a row are of one file, so of one length."""
     for b in batches:
         out = np.empty(b.num_rows)
-        for at in range(b.num_rows):
-            x, y = (np.asarray(b.column(i)[at].values.to_numpy(zero_copy_only=False), np.float64) for i in (2, 3))
-            x, y = x / np.abs(x).max(), y / np.abs(y).max()
-            out[at] = (x * y).sum() / math.sqrt((x * x).sum() * (y * y).sum())
+        flat = [b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3)]
+        lengths = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        for dim in np.unique(lengths):
+            rows = np.nonzero(lengths == dim)[0]
+            x, y = (f[starts[rows][:, None] + np.arange(dim)] for f in flat)
+            x /= np.abs(x).max(1)[:, None]
+            y /= np.abs(y).max(1)[:, None]
+            out[rows] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(out, 9))], names=["a", "b", "similarity"])
 
 
@@ -243,9 +285,11 @@ def usable_vectors(df: DataFrame, key: str, group: F.Column, vector: str) -> Dat
     return rows.join(lengths, "grp").filter((F.size("vec") == F.col("len")) & (F.col("len") > 0) & fine).select("id", "grp", "vec")
 
 
-def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10, least: float = 0.9, tables: int = TABLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10, least: float = 0.9, recall: float = RECALL, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`id`, `neighbour`, `similarity`, `rank`: for every usable vector its up to k most similar usable vectors of the
-    same group with a cosine similarity of at least `least`, found with a high chance (see the README for the recall).
+    same group with a cosine similarity of at least `least`. A pair of similarity `least` is found with a chance of
+    `recall`, nearer ones with a higher chance: functions follow the size of the vectors' own group, tables and probes
+    the chance that functions leave (`plan`), so recall doesn't fall as groups grow.
 
     Equal similarities (to nine decimals) rank by id. Exact copies are hashed once, however many there are, and
     afterwards share one list of the k + 1 smallest ids, so no group of copies is expanded into pairs. Keys must be
@@ -261,12 +305,16 @@ def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10,
     members = work.save(members, "copies")
     reps = marked.join(members.filter(F.col("id") != F.col("rep")), "id", "left_anti").select("id", "file", F.col("vec").cast("array<float>").alias("vec"))
     reps = work.save(reps, "vectors")
-    most = reps.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    functions = functions_per_table(most)
-    probes = probes_per_table(functions)
-
-    lanes = reps.mapInArrow(_hasher(functions, probes, tables), "bucket bigint, role int, id bigint, step float, error float, code binary")
-    full = reps.mapInArrow(_home(functions, tables), "bucket bigint").groupBy("bucket").count().filter(F.col("count") > block_rows)
+    # Functions by the size of the vector's own file; the driver sees their few distinct numbers.
+    n = F.col("count")
+    functions = F.when(n > BUCKET_ROWS, F.greatest(F.lit(2), F.round(F.log(n / BUCKET_ROWS) / -math.log(FAR_TOGETHER)))).otherwise(2).cast("int")
+    sizes = work.save(reps.groupBy("file").count().select("file", "count", functions.alias("functions")), "sizes")
+    classes = sizes.groupBy("functions").agg(F.sum("count").alias("rows"), F.count("*").alias("files")).collect()
+    plans = {r["functions"]: plan(r["functions"], least, recall) for r in classes}
+    sized = F.broadcast(sizes) if sum(r["files"] for r in classes) <= 10_000 else sizes
+    sized = reps.join(sized.select("file", "functions"), "file").select("id", "file", "vec", "functions")
+    lanes = sized.mapInArrow(_hasher(plans), "bucket bigint, role int, id bigint, step float, error float, code binary")
+    full = sized.mapInArrow(_home(plans), "bucket bigint").groupBy("bucket").count().filter(F.col("count") > block_rows)
     full = full.select("bucket", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
     n_full = full.count()
     if n_full:
@@ -279,7 +327,8 @@ def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10,
         lanes = stored.withColumn("role", F.when((F.col("role") == 0) & F.col("blocks").isNotNull() & (F.col("block") != own), 1).otherwise(F.col("role"))).drop("blocks")
     else:
         lanes = lanes.withColumn("block", F.lit(0))
-    parts = max(2 * default_parallelism(spark), -(-most // 5_000))
+    copies = sum(r["rows"] * plans[r["functions"]][1] * (1 + plans[r["functions"]][0]) for r in classes)
+    parts = max(2 * default_parallelism(spark), -(-copies // LANE_COPIES))
     lanes = lanes.select("bucket", "block", "role", "id", "step", "error", "code").repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block", "role")
     pairs = lanes.mapInArrow(_lane(k, least, block_rows), "a bigint, b bigint").distinct()
 
@@ -299,59 +348,63 @@ def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10,
     return askers.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-#: Queries and rows that one lane of the exact search holds at a time.
-BLOCK_QUERIES, LANE_ROWS = 2_000, 100_000
+#: Components (of 8 bytes) of the vectors that one lane of the exact search holds, and of one matrix of similarities.
+LANE_VALUES, MATRIX_VALUES = 8_000_000, 2_000_000
 
 
 def _exact_lane(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lane, asked, best = None, None, None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if best is not None:
-                ids, sims = best
-                row, col = np.nonzero(sims > -2)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[0][row]), pa.array(ids[row, col]), pa.array(np.round(sims[row, col], 9))], names=["id", "neighbour", "similarity"])
+    """Rows sorted by lane, its vectors before its queries: the lane's vectors are held, the queries pass by."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, held, ids, x = None, [], None, None
         for batch in batches:
             key, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edge = np.nonzero((np.diff(key) != 0) | (np.diff(role) != 0))[0] + 1
             for lo, hi in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])):
                 if lo == hi:
                     continue
-                flat = batch.column(3).slice(lo, hi - lo)
-                x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(hi - lo, -1)
-                x = x / np.abs(x).max(1)[:, None]
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                ids = batch.column(2).slice(lo, hi - lo).to_numpy()
+                unit = np.asarray(batch.column(3).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(hi - lo, -1)
+                unit = unit / np.abs(unit).max(1)[:, None]
+                unit /= np.linalg.norm(unit, axis=1)[:, None]
+                own = batch.column(2).slice(lo, hi - lo).to_numpy()
                 if key[lo] != lane:
-                    yield from done()
-                    lane, asked, best = key[lo], None, None
+                    lane, held, ids, x = key[lo], [], None, None
                 if role[lo] == 0:
-                    asked = (ids, x) if asked is None else (np.concatenate([asked[0], ids]), np.concatenate([asked[1], x]))
-                elif asked is not None:
-                    for at in range(0, len(ids), 1000):
-                        sims = asked[1] @ x[at : at + 1000].T
-                        theirs = np.broadcast_to(ids[at : at + 1000], sims.shape)
-                        sims[asked[0][:, None] == theirs] = -3
-                        if best is not None:
-                            sims, theirs = np.concatenate([best[1], sims], 1), np.concatenate([best[0], theirs], 1)
-                        # Ties go to the smaller id: order by id first, then stably by similarity.
-                        by_id = np.argsort(theirs, 1, kind="stable")
-                        sims, theirs = np.take_along_axis(np.round(sims, 9), by_id, 1), np.take_along_axis(theirs, by_id, 1)
-                        top = np.argsort(-sims, 1, kind="stable")[:, :k]
-                        best = (np.take_along_axis(theirs, top, 1), np.take_along_axis(sims, top, 1))
-        yield from done()
+                    held.append((own, unit))
+                    continue
+                if held:
+                    ids, x = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                    held = []
+                if ids is None:
+                    continue
+                wide = max(1, MATRIX_VALUES // len(ids))
+                for at in range(0, len(own), wide):
+                    asked = own[at : at + wide]
+                    sims = np.round(unit[at : at + wide] @ x.T, 9)
+                    sims[asked[:, None] == ids] = -3
+                    if len(ids) > k:
+                        # All that reach the k-th best, ties included; the smaller id goes first.
+                        keep = sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+                    else:
+                        keep = np.ones(sims.shape, bool)
+                    row, col = np.nonzero(keep & (sims > -2))
+                    near = sims[row, col]
+                    order = np.lexsort((ids[col], -near, row))
+                    row, col, near = row[order], col[order], near[order]
+                    first = np.searchsorted(row, row)
+                    top = np.arange(len(row)) - first < k
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[row[top]]), pa.array(ids[col[top]]), pa.array(near[top])], names=["id", "neighbour", "similarity"])
 
     return run
 
 
-def search(df: DataFrame, key: str, group: F.Column, vector: str, asked: F.Column, k: int = 10, least: float = 0.9) -> DataFrame:
+def search(df: DataFrame, key: str, group: F.Column, vector: str, asked: F.Column, k: int = 10, least: float = 0.9, lane_values: int = LANE_VALUES) -> DataFrame:
     """`id`, `neighbour`, `similarity`, `rank`: the k most similar usable vectors of the same group, whatever their
     similarity, for the usable vectors for which `asked` (an expression over `id`) holds.
 
     `nearest` answers those it finds k neighbours of at least `least` for; the others are compared with all vectors of
-    their group, exactly and in blocks of BLOCK_QUERIES queries. Groups with fewer others give shorter lists.
+    their group, exactly: the group's vectors are spread over lanes of bounded size, each once, and every query visits
+    its group's lanes. Groups with fewer others give shorter lists.
     """
     spark = df.sparkSession
     work = Scratch(spark, "search")
@@ -360,17 +413,19 @@ def search(df: DataFrame, key: str, group: F.Column, vector: str, asked: F.Colum
     near = work.save(near, "near")
     full = near.groupBy("id").count().filter(F.col("count") >= k).select("id")
     queries = work.save(good.filter(asked).join(full, "id", "left_anti"), "queries")
-    # A file's queries are spread over blocks, its rows over lanes; each block meets each lane.
-    per = queries.groupBy("file").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
-    rows = good.groupBy("file").agg(F.ceil(F.count("*") / LANE_ROWS).cast("int").alias("lanes"))
-    sizes = per.join(rows, "file")
-    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lane = F.xxhash64("file", "block", "lane").alias("key")
-    ask = queries.join(sizes, "file").withColumn("block", number("blocks")).withColumn("lane", every("lanes")).select(lane, F.lit(0).alias("role"), "id", "vec")
-    met = good.join(sizes, "file").withColumn("lane", number("lanes")).withColumn("block", every("blocks")).select(lane, F.lit(1).alias("role"), "id", "vec")
-    lanes = ask.unionByName(met).repartition(4 * default_parallelism(spark), "key").sortWithinPartitions("key", "role")
-    exact = lanes.mapInArrow(_exact_lane(k), "id bigint, neighbour bigint, similarity double")
+    sizes = work.save(good.groupBy("file").agg(F.ceil(F.sum(F.size("vec")) / lane_values).cast("int").alias("lanes"), F.count("*").alias("rows")), "sizes")
+    total = sizes.agg(F.count("*").alias("files"), F.sum("lanes").alias("lanes")).first()
+    sized = (F.broadcast(sizes) if total["files"] <= 10_000 else sizes).select("file", "lanes")
+    lane = F.xxhash64("file", "lane").alias("key")
+    met = good.join(sized, "file").withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int")).select(lane, F.lit(0).alias("role"), "id", "vec")
+    # A lane with very many queries is met in several tasks: its vectors go to each of them.
+    ask = queries.join(sized, "file").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).select(lane, F.lit(1).alias("role"), "id", "vec")
+    turns = max(1, min(4 * default_parallelism(spark), -(-queries.count() // 2_000)) // max(1, total["lanes"] or 1))
+    met = met.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    ask = ask.withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)).cast("int"))
+    lanes = met.unionByName(ask).select(F.xxhash64("key", "turn").alias("key"), "role", "id", "vec")
+    parts = max(4 * default_parallelism(spark), total["lanes"] or 1)
+    exact = lanes.repartition(parts, "key").sortWithinPartitions("key", "role").mapInArrow(_exact_lane(k), "id bigint, neighbour bigint, similarity double")
     found = exact.unionByName(near.join(full, "id", "left_semi").select("id", "neighbour", "similarity"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

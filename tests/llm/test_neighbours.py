@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairforge.llm.neighbours import codes, file_neighbours, functions_per_table, mutual, nearest, probe_sets
+from pairforge.llm.neighbours import RECALL, buckets, codes, file_neighbours, functions_per_table, mutual, nearest, plan, probe_sets
 
 SCHEMA = "vec_id bigint, embedding_file string, embedding array<float>, id int, a int, rank int"
 
@@ -87,6 +87,40 @@ def test_probe_order_and_sizes():
     assert pytest.approx(21, abs=1) == functions_per_table(10**9)
 
 
+@pytest.mark.parametrize("rows", [1_500, 15_000, 5_000_000, 10**8, 10**9])
+def test_plan_keeps_recall_at_every_size(rows):
+    """Pairs at the least similarity, hashed with the package's own buckets."""
+    k = functions_per_table(rows)
+    probes, tables = plan(k, 0.9, RECALL)
+    rng = np.random.default_rng(rows)
+    a, b = rng.normal(size=(2, 600, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
+    file, met = np.zeros(600, np.int64), np.zeros(600, bool)
+    for t in range(tables):
+        x, y = (buckets(v.astype(np.float32), file, t, k, probes) for v in (a, b))
+        met |= (x[:, :1] == y).any(1) | (y[:, :1] == x).any(1)
+    assert met.mean() >= 0.98
+
+
+def test_files_of_very_different_sizes(spark):
+    big, small = clustered(1600, 16, 7), clustered(40, 16, 8)
+    rows = [(i, "big", v) for i, v in enumerate(big)] + [(5000 + i, "small", v) for i, v in enumerate(small)]
+    got = lists(nearest(frame(spark, rows), "vec_id", F.col("embedding_file"), "embedding", 10, 0.9))
+    want = brute([(i, v) for i, f, v in rows if f == "small"], 10, 0.9)
+    assert {i: js for i, js in got.items() if i >= 5000} == {i: js for i, js in want.items() if js}
+
+
+def test_search_in_many_lanes(spark):
+    from pairforge.llm.neighbours import search
+
+    v = np.round(np.random.default_rng(11).normal(size=(260, 4)), 1) + 0.05
+    rows = [(i, "f", x) for i, x in enumerate(v)]
+    got = lists(search(frame(spark, rows), "vec_id", F.col("embedding_file"), "embedding", F.col("id") % 3 == 0, 5, lane_values=120))
+    assert got == {i: js for i, js in brute([(i, x) for i, _, x in rows], 5, -1.0).items() if i % 3 == 0}
+
+
 def test_search_is_exact_at_any_similarity(spark):
     from pairforge.llm.neighbours import search
 
