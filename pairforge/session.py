@@ -50,9 +50,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset and all is local.
+
+    On a cluster a folder of one machine would lose what the others wrote, so there it is an error not to name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pairforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -85,6 +90,11 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def drop_all(self) -> None:
+        """Delete all tables saved here."""
+        fs, base = self._at(self.base)
+        fs.delete(base, True)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete saved tables."""
         for t in tables:
