@@ -144,8 +144,9 @@ def _records(rows: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame, Data
     base = base.filter(F.col("split").isin("train", "val", "test")).select("pair_id", "protein_a", "protein_b", text.alias("text"), score.alias("score"), "split", "source")
     base = work.save(base, "records")
     ev, tr = base.filter(F.col("split").isin("val", "test")), base.filter(F.col("split") == "train")
-    whole = text_overlaps(ev, tr, words=2).filter("coverage = 1").select("eval_text", "train_text")
-    return ev, tr, whole
+    whole = work.save(text_overlaps(ev, tr, words=2).filter("coverage = 1").select("eval_text", "train_text"), "whole")
+    # Training rows of no covering text need not meet anything.
+    return ev, tr.join(whole.select(F.col("train_text").alias("text")), "text", "left_semi"), whole
 
 
 #: Texts that overlap may still be of other proteins: one text inside a longer one, or white space inside a name.
