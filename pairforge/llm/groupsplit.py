@@ -53,37 +53,60 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], names=["record", "parent"])
 
 
-def propagate(memberships: DataFrame, work: Scratch, task_rows: int = TASK_ROWS) -> DataFrame:
+#: Keys with more rows than this are joined by a broadcast, if they also hold a HOT_SHARE of all rows.
+HOT_ROWS = 100_000
+HOT_SHARE = 0.001
+
+
+def _spread_join(rows: DataFrame, sums: DataFrame, key: str, total: int, hot_rows: int) -> DataFrame:
+    """`rows` joined with `sums` (`key`, `n` rows of that key in `rows`, ...) on `key`, without `n`.
+
+    Rows of hot keys never meet in one place: their sums are broadcast to where they lie. At most 1 / HOT_SHARE keys
+    hold such a share, so the broadcast is bounded whatever the input; all other keys are joined by a shuffle.
+    """
+    hot = sums.filter(F.col("n") > max(hot_rows, int(total * HOT_SHARE)))
+    few = hot.collect()
+    cold = rows.join(sums.drop("n"), key)
+    if not few:
+        return cold
+    known = F.broadcast(rows.sparkSession.createDataFrame(few, sums.schema).drop("n"))
+    rest = rows.join(known.select(key), key, "left_anti").join(sums.drop("n"), key)
+    return rest.unionByName(rows.join(known, key))
+
+
+def propagate(memberships: DataFrame, work: Scratch, task_rows: int = TASK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """`record`, `group_id` (the smallest record of its component) of every record that shares an entity with another.
 
-    `memberships`: `record`, `entity` (strings, no nulls). Each round needs partial aggregations and one join per side;
-    no entity's records are ever brought together in one place. A contracted graph of at most `task_rows` memberships
-    is finished by one bounded task.
+    `memberships`: `record`, `entity` (strings, no nulls). In a round every entity takes its smallest record and is
+    from then on named by it, so entities that took the same record are one; every record takes the smallest its
+    entities took, and records with the same label are one. Each round needs partial aggregations and one join per
+    side; the rows of a hot entity or record are never brought together in one place. A contracted graph of at most
+    `task_rows` memberships is finished by one bounded task.
     """
     steps: list[DataFrame] = []
     graph = work.save(memberships.distinct(), "graph")
     while True:
-        if 0 < graph.count() <= task_rows:
+        total = graph.count()
+        if 0 < total <= task_rows:
             steps.append(work.save(graph.coalesce(1).mapInArrow(_local, "record string, parent string"), "parent"))
             work.drop(graph)
             break
-        low = graph.groupBy("entity").agg(F.min("record").alias("low"), F.max("record").alias("high"))
-        linked = graph.join(low.filter("low <> high").select("entity", "low"), "entity")
-        parent = linked.groupBy("record").agg(F.min("low").alias("parent"))
-        parent = work.save(parent, "parent")
+        low = graph.groupBy("entity").agg(F.min("record").alias("low"), F.max("record").alias("high"), F.count("*").alias("n"))
+        low = work.save(low.filter("low <> high").select("entity", "low", "n"), "low")
+        linked = work.save(_spread_join(graph, low, "entity", total, hot_rows).select("record", F.col("low").alias("entity")), "linked")
+        work.drop(graph, low)
+        parent = work.save(linked.groupBy("record").agg(F.min("entity").alias("parent"), F.count("*").alias("n")), "parent")
         if parent.isEmpty():
-            work.drop(graph, parent)
+            work.drop(linked, parent)
             break
         # Labels move on to their own parents, so a chain of labels is halved once more in each round.
         above = parent.filter("parent <> record").select(F.col("record").alias("parent"), F.col("parent").alias("above"))
-        further = work.save(parent.join(above, "parent", "left").select("record", F.coalesce("above", "parent").alias("parent")), "parent")
+        further = work.save(parent.join(above, "parent", "left").select("record", F.coalesce("above", "parent").alias("parent"), "n"), "parent")
         work.drop(parent)
-        parent = further
-        steps.append(parent)
-        moved = linked.select("record", "entity").join(parent, "record").select(F.col("parent").alias("record"), "entity").distinct()
-        contracted = work.save(moved, "graph")
-        work.drop(graph)
-        graph = contracted
+        steps.append(further)
+        moved = _spread_join(linked, further, "record", total, hot_rows).select(F.col("parent").alias("record"), "entity").distinct()
+        graph = work.save(moved, "graph")
+        work.drop(linked)
     label = None
     while steps:
         step = steps.pop()
@@ -123,6 +146,13 @@ def place(sizes: np.ndarray, shares: Sequence[float]) -> np.ndarray:
     return out
 
 
+def with_groups(records: DataFrame, memberships: DataFrame, work: Scratch) -> DataFrame:
+    """`record`, `group_id`, `label` of every record; a record without entity is a group, a null label is ''."""
+    known = memberships.filter(F.col("record").isNotNull() & F.col("entity").isNotNull()).select("record", "entity")
+    label = propagate(known, work)
+    return records.join(label, "record", "left").select("record", F.coalesce("group_id", "record").alias("group_id"), F.coalesce("label", F.lit("")).alias("label"))
+
+
 def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """`record`, `group_id`, `split` of every record.
 
@@ -131,15 +161,12 @@ def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, f
     entity is a group. A membership with a null end is nothing. Shares need not sum to one. Groups of more than
     LARGE_SHARE of all records (at most 1 / LARGE_SHARE of them) are placed one by one, all others in CELLS cells per
     label, by the label most of their records have (smallest label at a tie) and a hash of the group: what the driver
-    places is bounded, whatever the input. Empty tables give no rows.
+    places is bounded, whatever the input. A cell holds about 1 / CELLS of its label's records, so that is about what
+    a label's share of a split can miss. Empty tables give no rows.
     """
     spark = records.sparkSession
     work = Scratch(spark, "groupsplit")
-    known = memberships.filter(F.col("record").isNotNull() & F.col("entity").isNotNull()).select("record", "entity")
-    label = propagate(known, work)
-    grouped = records.join(label, "record", "left").select("record", F.coalesce("group_id", "record").alias("group_id"), F.coalesce("label", F.lit("")).alias("label"))
-    grouped = work.save(grouped, "grouped")
-    work.drop(label)
+    grouped = work.save(with_groups(records, memberships, work), "grouped")
     by_label = grouped.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS + 1).collect()
     if not by_label:
         return grouped.select("record", "group_id", F.lit(None).cast("string").alias("split"))
@@ -166,27 +193,40 @@ def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, f
     return grouped.join(placed, "group_id").select("record", "group_id", "split")
 
 
-def protein_split(pairs: DataFrame, clusters: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """`protein`, `group_id`, `split` of every protein in `clusters` (member) or `pairs` (query, target).
+def _protein_graph(pairs: DataFrame, clusters: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Records (the proteins, labelled by the tables they occur in: 1 pairs, 2 clusters, 3 both) and memberships.
 
-    Proteins that share a cluster_id or a pair, directly or through others, are in the same split. The label is in
-    which of the two tables a protein occurs. A pair's entity is its smaller protein, whose star holds all its
-    partners. Missing ends, members and cluster ids link nothing.
+    A pair's entity is its smaller protein, whose star holds all its partners. Missing ends, members and cluster ids
+    link nothing.
     """
     from ..functions.ids import accession
 
     ends = pairs.select(accession("query").alias("q"), accession("target").alias("t"))
-    a, b = F.least("q", "t"), F.greatest("q", "t")
-    star = ends.select(a.alias("a"), b.alias("b")).filter(F.col("a").isNotNull())
-    held = clusters.select(accession("member").alias("record"), F.concat(F.lit("c:"), F.col("cluster_id").cast("string")).alias("entity")).filter(F.col("record").isNotNull())
-    work = Scratch(pairs.sparkSession, "proteins")
+    star = ends.select(F.least("q", "t").alias("a"), F.greatest("q", "t").alias("b")).filter(F.col("a").isNotNull())
     edges = work.save(star.distinct(), "stars")
-    linked = edges.filter(F.col("a") < F.col("b"))
-    memberships = linked.select(F.col("b").alias("record"), F.concat(F.lit("p:"), "a").alias("entity")).unionByName(linked.select(F.col("a").alias("record"), F.concat(F.lit("p:"), "a").alias("entity")))
+    held = clusters.select(accession("member").alias("record"), F.concat(F.lit("c:"), F.col("cluster_id").cast("string")).alias("entity")).filter(F.col("record").isNotNull())
     held = work.save(held.distinct(), "held")
+    linked = edges.filter(F.col("a") < F.col("b"))
+    memberships = linked.select(F.explode(F.array("b", "a")).alias("record"), F.concat(F.lit("p:"), "a").alias("entity"))
     seen = edges.select(F.explode(F.array("a", "b")).alias("record"), F.lit(1).alias("bit")).unionByName(held.select("record", F.lit(2).alias("bit")))
     records = seen.groupBy("record").agg(F.bit_or("bit").cast("string").alias("label"))
-    done = split_groups(records, memberships.unionByName(held.filter(F.col("entity").isNotNull())), shares)
+    return records, memberships.unionByName(held.filter(F.col("entity").isNotNull()))
+
+
+def protein_split(pairs: DataFrame, clusters: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """`protein`, `group_id`, `split` of every protein in `clusters` (member) or `pairs` (query, target).
+
+    Proteins that share a cluster_id or a pair, directly or through others, are in the same split, stratified by the
+    tables in which a protein occurs.
+    """
+    work = Scratch(pairs.sparkSession, "proteins")
+    done = split_groups(*_protein_graph(pairs, clusters, work), shares)
     # What is returned reads the tables of split_groups only.
-    work.drop(edges, held)
+    work.drop_all()
     return done.withColumnRenamed("record", "protein")
+
+
+def protein_groups(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """`protein`, `group_id` (the smallest protein it is related to) of the same proteins, without the split."""
+    work = Scratch(pairs.sparkSession, "proteins")
+    return with_groups(*_protein_graph(pairs, clusters, work), work).select(F.col("record").alias("protein"), "group_id")

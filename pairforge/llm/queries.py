@@ -10,7 +10,7 @@ from ..operators.table_diff import pair_rows
 from ..plans.copies import acc_sql
 from ..session import table
 from .components import connected_components
-from .groupsplit import protein_split
+from .groupsplit import protein_groups, protein_split
 from .neighbours import file_neighbours, mutual, search
 from .overlap import cross_split_classes, cross_split_pairs
 from .packing import fill_containers, usage
@@ -73,11 +73,26 @@ def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protein_split(pairs, clusters, {"train": 0.8, "val": 0.1, "test": 0.1})
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that p4_split keeps together."""
+    return protein_groups(*(table(spark, sf_dir, t) for t in ("merged_protein_similarity", "cluster_members")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "merged_protein_similarity").select("query", "target")
     return connected_components(pairs, accession("query"), accession("target")).withColumnRenamed("vertex", "protein")
 
 
+_GROUPS = """c(protein, group_id) USING KEY (protein) AS (SELECT protein, protein FROM n
+  UNION SELECT e.b, min(x.group_id) FROM c x JOIN e ON e.a = x.protein JOIN recurring.c y ON y.protein = e.b WHERE x.group_id < y.group_id GROUP BY e.b)"""
+# Members of a cluster are linked to its smallest member.
+P4_GROUPS_SQL = f"""WITH RECURSIVE r AS (SELECT {acc_sql('query')} AS q, {acc_sql('target')} AS t FROM merged_protein_similarity),
+h AS (SELECT {acc_sql('member')} AS m, cluster_id FROM cluster_members),
+k AS (SELECT m, min(m) OVER (PARTITION BY cluster_id) AS l FROM h WHERE m IS NOT NULL AND cluster_id IS NOT NULL),
+n AS (SELECT q AS protein FROM r WHERE q IS NOT NULL UNION SELECT t FROM r WHERE t IS NOT NULL UNION SELECT m FROM h WHERE m IS NOT NULL),
+e AS (SELECT q AS a, t AS b FROM r WHERE q <> t UNION SELECT t, q FROM r WHERE q <> t UNION SELECT m, l FROM k WHERE m <> l UNION SELECT l, m FROM k WHERE m <> l),
+{_GROUPS}
+SELECT protein, group_id FROM c"""
 P5_SQL = f"""WITH RECURSIVE r AS (SELECT {acc_sql('query')} AS q, {acc_sql('target')} AS t FROM merged_protein_similarity),
 n AS (SELECT q AS protein FROM r WHERE q IS NOT NULL UNION SELECT t FROM r WHERE t IS NOT NULL),
 e AS (SELECT q AS a, t AS b FROM r WHERE q <> t UNION SELECT t, q FROM r WHERE q <> t),
@@ -108,8 +123,8 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_counts": p3_counts, "p4_split": p4_split, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_pieces": p8_pieces}
+    return {"p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_counts": p3_counts, "p4_split": p4_split, "p4_groups": p4_groups, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_pieces": p8_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p2_search": P2_SEARCH_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL, "p5_found": P5_SQL}
+    return {"p2_found": P2_SQL, "p2_search": P2_SEARCH_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL, "p4_groups": P4_GROUPS_SQL, "p5_found": P5_SQL}

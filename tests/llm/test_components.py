@@ -85,6 +85,16 @@ def test_propagation_in_rounds_and_in_one_task(spark, task_rows):
     assert all(got.get(r, r) == g for r, g in want.items())
 
 
+def test_hot_entities_and_records(spark):
+    rng = random.Random(8)
+    rows = [(f"r{i:03}", "hot") for i in range(0, 200, 2)] + [("r007", f"e{i}") for i in range(80)] + [(f"r{rng.randint(200, 320)}", f"e{rng.randint(0, 150)}") for _ in range(150)]
+    want = {k: v for k, v in brute([(r, "~" + e) for r, e in rows]).items() if k[0] == "r"}
+    df = spark.createDataFrame(rows, "record string, entity string")
+    for hot in (20, 10**9):
+        got = {r.record: r.group_id for r in propagate(df, Scratch(spark, "test"), 0, hot).collect()}
+        assert all(got.get(r, r) == g for r, g in want.items())
+
+
 def test_groups_stay_whole_and_shares_hold(spark):
     records = spark.createDataFrame([(f"r{i:04}", "ab"[i % 2] if i % 7 else None) for i in range(3000)], "record string, label string")
     members = spark.createDataFrame([(f"r{i:04}", f"e{i // 3}") for i in range(2400)] + [(None, "e1"), ("r0001", None)], "record string, entity string")
