@@ -41,6 +41,28 @@ def _codes(left: pa.Table, right: pa.Table, keys: Sequence[str]) -> tuple[np.nda
     return code[:n], code[n:]
 
 
+def _apart(x: pa.Array, y: pa.Array, tolerance: float) -> np.ndarray:
+    """Where two columns differ, nulls aside: whole numbers exactly, a NaN from every number and not from a NaN."""
+    if pa.types.is_integer(x.type):
+        a, b = (pc.fill_null(c, 0).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in (x, y))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        return (high.view(np.uint64) - low.view(np.uint64)) > np.uint64(max(tolerance, 0.0))
+    if pa.types.is_floating(x.type):
+        a, b = (pc.fill_null(c.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) for c in (x, y))
+        nan = np.isnan(a) | np.isnan(b)
+        with np.errstate(invalid="ignore"):
+            return np.where(nan, np.isnan(a) != np.isnan(b), (np.abs(a - b) > tolerance) & (a != b))
+    if pa.types.is_nested(x.type):
+        return np.fromiter((p != q for p, q in zip(x.to_pylist(), y.to_pylist())), bool, len(x))
+    return ~pc.fill_null(pc.equal(x, y), True).to_numpy(zero_copy_only=False)
+
+
+def _text(values: pa.Array) -> pa.Array:
+    if pa.types.is_nested(values.type):
+        return pa.array([None if v is None else str(v) for v in values.to_pylist()], pa.string())
+    return values.cast(pa.string())
+
+
 def _compare(left: pa.Table, right: pa.Table, keys: list[str], fields: list[str], tolerance: dict[str, float], out: pa.Schema) -> pa.Table:
     a, b = _codes(left, right, keys)
     order = np.argsort(b, kind="stable")
@@ -64,15 +86,9 @@ def _compare(left: pa.Table, right: pa.Table, keys: list[str], fields: list[str]
     for f in fields:
         x, y = left.column(f).take(pa.array(li)).combine_chunks(), right.column(f).take(pa.array(ri)).combine_chunks()
         nx, ny = (c.is_null().to_numpy(zero_copy_only=False) for c in (x, y))
-        if pa.types.is_floating(x.type) or pa.types.is_integer(x.type):
-            fx, fy = (np.nan_to_num(c.cast(pa.float64()).to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf) for c in (x, y))
-            with np.errstate(invalid="ignore"):
-                apart = (np.abs(fx - fy) > tolerance.get(f, 0.0)) & (fx != fy)
-        else:
-            apart = ~pc.fill_null(pc.equal(x, y), True).to_numpy(zero_copy_only=False)
-        mask = np.where(nx | ny, nx != ny, apart)
+        mask = np.where(nx | ny, nx != ny, _apart(x, y, tolerance.get(f, 0.0)))
         rows = np.nonzero(mask)[0]
-        emit(left, li[rows], f, x.take(pa.array(rows)).cast(pa.string()), y.take(pa.array(rows)).cast(pa.string()))
+        emit(left, li[rows], f, *(_text(c.take(pa.array(rows))) for c in (x, y)))
     return pa.concat_tables(parts) if parts else out.empty_table()
 
 
@@ -89,8 +105,8 @@ def table_diff(
     """Rows missing on either side and cells whose values differ.
 
     Returns the keys, `finding` (`missing_in_copy`, `missing_in_original` or a field's name) and the two values as
-    strings. Numbers differ if they are more than the field's tolerance apart; a null differs from a value and equals
-    a null. Null keys are values like others. Repeated keys count once, by `latest_rows`. Empty tables give the rows of
+    strings. Numbers differ if they are more than the field's tolerance apart, whole numbers exactly; a null differs from
+    a value and equals a null, and so does a NaN. Null keys are values like others. Repeated keys count once, by `latest_rows`. Empty tables give the rows of
     the other side; extra columns are ignored, whatever their names. A bucket holds about `rows_per_bucket` distinct
     keys: the number of buckets follows the number of rows and no bucket grows with the data. `n_rows`, a bound of the
     rows of both copies, saves the pass that counts them.

@@ -76,3 +76,21 @@ def test_against_brute_force(spark, x, y):
     want = sorted([(k, "missing_in_copy") for k in p.keys() - q.keys()] + [(k, "missing_in_original") for k in q.keys() - p.keys()] + [(k, "v") for k in p.keys() & q.keys() if p[k] != q[k]])
     dfs = [spark.createDataFrame(r, "k int, v int, t int") for r in (x, y)]
     assert sorted((r.k, r.finding) for r in table_diff(*dfs, ["k"], ["v"], "t", rows_per_bucket=4).collect()) == want
+
+
+def test_nan_and_large_whole_numbers(spark):
+    nan = math.nan
+    a = [("a", nan, 2**53), ("b", nan, -(2**63)), ("c", 0.0, 5), ("d", None, None), ("e", math.inf, 7)]
+    b = [("a", 0.0, 2**53 + 1), ("b", nan, 2**63 - 1), ("c", nan, 6), ("d", nan, 1), ("e", math.inf, 7)]
+    dfs = [spark.createDataFrame([(*r, 1) for r in x], "k string, v double, n bigint, t int") for x in (a, b)]
+    got = sorted((r.k, r.finding) for r in table_diff(*dfs, ["k"], ["v", "n"], "t").collect())
+    assert got == [("a", "n"), ("a", "v"), ("b", "n"), ("c", "n"), ("c", "v"), ("d", "n"), ("d", "v")]
+    near = sorted((r.k, r.finding) for r in table_diff(*dfs, ["k"], ["n"], "t", {"n": 1}).collect())
+    assert near == [("b", "n"), ("d", "n")]
+
+
+def test_lists_and_times_as_fields(spark):
+    rows = [[("a", [1, 2], at(1)), ("b", None, at(2)), ("c", [3], None)], [("a", [1, 3], at(1)), ("b", [1], at(3)), ("c", [3], None)]]
+    dfs = [spark.createDataFrame([(*r, 1) for r in x], "k string, v array<int>, s timestamp, t int") for x in rows]
+    got = sorted((r.k, r.finding, r.original_value) for r in table_diff(*dfs, ["k"], ["v", "s"], "t").collect())
+    assert [g[:2] for g in got] == [("a", "v"), ("b", "s"), ("b", "v")] and got[0][2] == "[1, 2]" and got[2][2] is None
