@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import number_or_null
 from ..functions.scores import pair_key
 
 
 def keyed(run: DataFrame, value: str) -> DataFrame:
-    """`pair_key`, `value` of each row with both ends; the key is the same in either direction."""
-    return run.select(pair_key("query", "target").alias("pair_key"), F.col(value).try_cast("double").alias("value")).filter(F.col("pair_key").isNotNull())
+    """`pair_key`, `value` of each row with both ends; the key is the same in either direction. A NaN is a missing value, like null."""
+    return run.select(pair_key("query", "target").alias("pair_key"), number_or_null(F.col(value).try_cast("double")).alias("value")).filter(F.col("pair_key").isNotNull())
 
 
 def one_per_pair(run: DataFrame) -> DataFrame:

@@ -1,21 +1,30 @@
 """Ordered computations over whole columns without a task that holds a whole column.
 
 Rows are cut into value ranges by approximate quantiles, windows run inside a range, and each range starts from the
-sums of those before it. The ranges only decide where work happens; results are exact.
+sums of those before it. The number of ranges follows the number of rows of each key, so a range, and with it a task,
+holds a bounded number of rows up to FINE * ROWS_PER_RANGE rows of a key. The ranges only decide where work happens;
+results are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 32
+#: Ranges that a key has at most, a power of two, and rows that a range holds below that.
+FINE = 1024
+ROWS_PER_RANGE = 200_000
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], lead: bool = False, ranges: int = RANGES) -> DataFrame:
+def _place(order: str) -> Column:
+    """How many of the FINE - 1 ascending `_edges` lie below the value, by bisection; 0 without edges."""
+    steps = F.array(*[F.lit(FINE >> i) for i in range(1, FINE.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_edges", at + step - 1) < F.col(order), at + step).otherwise(at))
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], lead: bool = False, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """`df` with `cum_<s>`: the sum of s over the rows of the same keys up to and including this row's `order`; with
     `lead` also `next_<order>`: the following order of the same keys, null at the last.
 
@@ -24,11 +33,12 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[
     df = df.filter(F.col(order).isNotNull())
     keys = list(keys) or ["_all"]
     one = df if "_all" not in keys else df.withColumn("_all", F.lit(0))
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    edges = one.groupBy(*keys).agg(F.percentile_approx(order, steps, 1000).alias("_edges"))
-    # Unrolled, so that it stays inside generated code.
-    place = reduce(lambda a, b: a + b, [F.when(F.col("_edges")[i] < F.col(order), 1).otherwise(0) for i in range(ranges - 1)])
-    cut = one.join(edges, keys).withColumn("_range", place).drop("_edges")
+    steps = F.array(*[F.lit(i / FINE) for i in range(1, FINE)])
+    edges = one.groupBy(*keys).agg(F.percentile_approx(order, steps, 10 * FINE).alias("_edges"), F.count("*").alias("_rows"))
+    # A key of few rows has few ranges: neighbouring fine ones are taken together.
+    wide = F.least(F.lit(FINE), F.greatest(F.lit(1), F.floor(FINE * rows_per_range / F.col("_rows")))).cast("int")
+    edges = edges.select(*keys, F.when(F.col("_rows") > rows_per_range, F.col("_edges")).alias("_edges"), wide.alias("_wide"))
+    cut = one.join(edges, keys).withColumn("_range", F.floor(_place(order) / F.col("_wide")).cast("int")).drop("_edges", "_wide")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_range").agg(F.min(order).alias("_first"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
     after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_after")

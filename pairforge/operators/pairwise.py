@@ -12,11 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import equal_bin, min_max
+from ..session import Scratch
 from .ordered import average_ranks, present, running_sums
 
 LEAST_ROWS = 10
 
 
+def kept_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The named columns as doubles, written once to the shared folder: statistics of column pairs read them more than
+    once, and what made them (joins, distances) need not run again. Rows with no two values fall out."""
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    known = sum((F.when(present(c), 1).otherwise(0) for c in columns), F.lit(0))
+    return Scratch(df.sparkSession, "columns").save(values.filter(known >= 2), "columns")
+
+
 def column_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long form of all column pairs i < j: `col_a`, `col_b`, `x`, `y` of rows with both values (pairwise complete)."""
     each = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(columns, 2)])
@@ -39,12 +48,14 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def histogram_2d(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
     """Rectangular bins of all ordered column pairs; pairs with fewer than ten complete rows are left out."""
-    pairs = column_pairs(df, columns)
-    pairs = pairs.unionByName(pairs.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), F.col("y").alias("x"), F.col("x").alias("y")))
+    pairs = column_pairs(kept_columns(df, columns), columns)
     edge = pairs.groupBy("col_a", "col_b").agg(*[f(c).alias(n) for c in "xy" for f, n in ((F.min, f"{c}lo"), (F.max, f"{c}hi"))], F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS)
     placed = pairs.join(F.broadcast(edge), ["col_a", "col_b"])
     bx, by = (equal_bin(F.col(c), F.col(f"{c}lo"), F.col(f"{c}hi"), bins) for c in "xy")
-    return placed.groupBy("col_a", "col_b", bx.alias("bin_x"), by.alias("bin_y")).agg(F.count("*").alias("count"))
+    counted = placed.groupBy("col_a", "col_b", bx.alias("bin_x"), by.alias("bin_y")).agg(F.count("*").alias("count"))
+    # The other order of a pair has the same bins, turned.
+    turned = F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), F.col("bin_y").alias("bin_x"), F.col("bin_x").alias("bin_y"), "count")
+    return counted.select(F.explode(F.array(F.struct("col_a", "col_b", "bin_x", "bin_y", "count"), turned)).alias("c")).select("c.*")
 
 
 def hexbin(df: DataFrame, x: str, y: str, grid: int = 100) -> DataFrame:
@@ -104,7 +115,7 @@ def spearman_by(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y")
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman's rho of each column pair with its 95 % interval by Fisher's transformation; pairs of at most three rows have none."""
-    rho = spearman_by(column_pairs(df, columns), ["col_a", "col_b"])
+    rho = spearman_by(column_pairs(kept_columns(df, columns), columns), ["col_a", "col_b"])
     z, half = F.atanh("rho"), 1.959963984540054 / F.sqrt(F.col("n") - 3)
     sure = F.abs("rho") > 0.9999
     ok = F.col("n") > 3
@@ -133,7 +144,7 @@ def ks_by(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def wasserstein_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Wasserstein-1 of each column pair after scaling both to 0..1 over their complete rows; null below ten rows."""
-    pairs = column_pairs(df, columns)
+    pairs = column_pairs(kept_columns(df, columns), columns)
     edge = pairs.groupBy("col_a", "col_b").agg(*[f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count("*").alias("n"))
     both = pairs.join(F.broadcast(edge.filter(F.col("n") >= LEAST_ROWS)), ["col_a", "col_b"])
     scaled = F.array(*[F.struct(min_max(F.col(c), F.col(f"{c}lo"), F.col(f"{c}hi")).alias("v"), F.lit(i).alias("side")) for i, c in enumerate("xy")])

@@ -74,7 +74,40 @@ class Block:
 
     def split(self, k: int) -> int:
         """The split of the cluster of rank k."""
-        return next((i for i in (0, 1) if self.given(i, k + 1) > self.given(i, k)), 2)
+        return int(self.splits(np.array([k]))[0])
+
+    def splits(self, ranks: np.ndarray) -> np.ndarray:
+        """The splits of the clusters of these ranks, all at once.
+
+        Products of totals may exceed 64 bits; then Python's whole numbers are used in the same steps.
+        """
+        largest = max(abs(x) for x in (*self.room, *self.t, 1)) + self.s * (int(ranks.max(initial=0)) + 2)
+        kind = np.int64 if largest * max(*self.t, 1) * 2 < 2**62 else object
+        ranks = ranks.astype(kind)
+        out = np.full(len(ranks), 2)
+        for i in (1, 0):
+            gained = self._given(i, ranks + 1) > self._given(i, ranks)
+            out[gained.astype(bool)] = i
+        return out
+
+    def _given(self, i: int, k: np.ndarray) -> np.ndarray:
+        """As `given`, for an array of k: one bisection for all."""
+        levels = self._levels(i)
+        if not levels:
+            return np.zeros(len(k), np.int64)
+        low, high = np.zeros(len(k), k.dtype), np.full(len(k), levels, k.dtype)
+        for _ in range(levels.bit_length() + 1):
+            mid = (low + high) // 2
+            a = self.room[i] - mid * self.s
+            place = mid.copy()
+            for j in range(3):
+                if j != i and self.t[j] > 0:
+                    x = self.room[j] * self.t[i] - self.t[j] * a
+                    n = x // (self.s * self.t[i]) + 1 if j < i else -(-x // (self.s * self.t[i]))
+                    place += np.clip(n, 0, self._levels(j))
+            up = (place < k) & (low < high)
+            low, high = np.where(up, mid + 1, low), np.where(up, high, np.where(low < high, mid, high))
+        return low
 
 
 def greedy_split(sizes: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
@@ -94,9 +127,14 @@ def greedy_split(sizes: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.
     ranked = running_sums(sizes.select("cluster_id", "size", F.lit(1).alias("_one")), ["size"], "cluster_id", ["_one"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(NAMES)
         for b in batches:
-            chosen = [NAMES[Block(s, targets, starts[s]).split(k - 1)] for s, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chosen, pa.string())], names=["cluster_id", "size", "split"])
+            sizes_, ranks = (b.column(i).to_numpy() for i in (1, 2))
+            chosen = np.empty(b.num_rows, np.int64)
+            for s in np.unique(sizes_).tolist():
+                rows = np.flatnonzero(sizes_ == s)
+                chosen[rows] = Block(s, targets, starts[s]).splits(ranks[rows] - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names.take(pa.array(chosen))], names=["cluster_id", "size", "split"])
 
     return ranked.select("cluster_id", "size", "cum__one").mapInArrow(run, "cluster_id bigint, size bigint, split string")
 

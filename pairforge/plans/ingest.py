@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as P
-from ..functions.ids import accession
+from ..functions.ids import accession, number_or_null
 from ..operators import compare, distances, merge, split
 from ..operators.convergence import fraction_sample
 from ..session import table
@@ -80,11 +80,11 @@ query("threshold_distribution", f"""WITH {S.STRUCT} SELECT count(alntmscore) AS
 query("model_id_extract", """SELECT query, CASE WHEN regexp_matches(query, 'AF-(.*?)-F1-model_v4') THEN regexp_extract(query, 'AF-(.*?)-F1-model_v4', 1) END AS id, count(*) AS n
  FROM merged_protein_similarity WHERE query LIKE '%AF%' GROUP BY ALL""")(
     lambda s, d: table(s, d, "merged_protein_similarity").filter(F.col("query").contains("AF")).groupBy("query", P.model_id("query").alias("id")).agg(F.count("*").alias("n")))
-query("projected_scan", "SELECT query, target, fident FROM merged_protein_similarity WHERE fident IS NOT NULL AND split = 'test'")(
-    lambda s, d: readers.by_extension(s, f"{d}/merged_protein_similarity.parquet", ["query", "target", "fident", "split"]).filter("split = 'test' and fident is not null").select("query", "target", "fident"))
+query("projected_scan", "SELECT query, target, fident FROM merged_protein_similarity WHERE fident IS NOT NULL AND NOT isnan(fident) AND split = 'test'")(
+    lambda s, d: readers.by_extension(s, f"{d}/merged_protein_similarity.parquet", ["query", "target", "fident", "split"]).filter(F.col("split") == "test").filter(number_or_null("fident").isNotNull()).select("query", "target", "fident"))
 
 # Comparison of two runs: the pair table and its copy.
-_K = lambda t: f"(SELECT array_to_string(list_sort([query, target]), '|') AS pair_key, fident AS value FROM {t} WHERE query IS NOT NULL AND target IS NOT NULL)"
+_K = lambda t: f"(SELECT array_to_string(list_sort([query, target]), '|') AS pair_key, CASE WHEN NOT isnan(fident) THEN fident END AS value FROM {t} WHERE query IS NOT NULL AND target IS NOT NULL)"
 _ONE = "k1 AS (SELECT pair_key, max(value) AS value FROM " + _K("merged_protein_similarity") + " GROUP BY 1), k2 AS (SELECT pair_key, max(value) AS value FROM " + _K("merged_similarity_copy") + " GROUP BY 1)"
 _run = lambda s, d, t: compare.keyed(table(s, d, t), "fident")
 _both = lambda s, d: (_run(s, d, "merged_protein_similarity"), _run(s, d, "merged_similarity_copy"))

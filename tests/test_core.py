@@ -58,6 +58,11 @@ def test_pair_keys_and_duplicates(spark):
     assert values(compare.one_per_pair(compare.keyed(run, "v"))) == [("a|a", None), ("a|b", 0.7)]
 
 
+def test_nan_is_a_missing_value_of_a_run(spark):
+    run = spark.createDataFrame([("a", "b", 0.5), ("b", "a", math.nan), ("c", "d", math.nan)], "query string, target string, v double")
+    assert values(compare.one_per_pair(compare.keyed(run, "v"))) == [("a|b", 0.5), ("c|d", None)]
+
+
 def test_distances_missing_and_pooling(spark):
     stores = spark.createDataFrame([("a", "m", [0.0, 3.0]), ("b", "m", [4.0, 0.0]), ("a", "k", [1.0])], "id string, embedding_name string, embedding array<float>")
     pairs = spark.createDataFrame([("a", "b", 1), ("a", "z", 2)], "query string, target string, distance_other int")
@@ -97,6 +102,13 @@ def test_blocks_equal_the_sequential_fold():
         assert got == greedy(sizes, ratios)
 
 
+def test_blocks_of_very_large_counts():
+    small, large = (split.Block(1, (7 * n, 2 * n, n), (0, 0, 0)) for n in (10**3, 10**12))
+    assert small.splits(np.arange(10**4)).tolist() == [small.split(k) for k in range(10**4)]
+    first = np.arange(2000)
+    assert large.splits(first).tolist() == [next((i for i in (0, 1) if large.given(i, k + 1) > large.given(i, k)), 2) for k in first.tolist()]
+
+
 def test_greedy_split_with_a_giant_and_ties(spark):
     sizes = [(i, 1) for i in range(60)] + [(100, 50), (101, 7), (102, 7)]
     got = {r.cluster_id: r.split for r in split.greedy_split(spark.createDataFrame(sizes, "cluster_id bigint, size bigint")).collect()}
@@ -120,6 +132,19 @@ def test_ranks_and_sums_in_many_ranges(spark):
     assert all(r.cum_n == r.v + 1 and (r.next_v == r.v + 1 or r.v == 999) for r in cum.collect())
 
 
+def test_ranges_follow_the_rows_of_each_key(spark):
+    rng = random.Random(2)
+    rows = [("many", float(i), rng.randint(1, 9)) for i in range(6000)] + [("one", 5.0, 3), ("two", -1.0, 1), ("two", 2.5, 2)] + [("many", -7.5, 2)]
+    out = running_sums(spark.createDataFrame(rows, "k string, v double, n int"), ["k"], "v", ["n"], lead=True, rows_per_range=10).collect()
+    got = {(r.k, r.v): (r.cum_n, r.next_v) for r in out}
+    want = {}
+    for k in ("many", "one", "two"):
+        mine, total = sorted((v, n) for g, v, n in rows if g == k), 0
+        for (v, n), after in zip(mine, [*(v for v, _ in mine[1:]), None]):
+            want[k, v] = ((total := total + n), after)
+    assert len(out) == len(rows) and got == want
+
+
 def pair_frame(spark, rows):
     return spark.createDataFrame(rows, "a double, b double")
 
