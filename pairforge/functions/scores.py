@@ -104,6 +104,11 @@ def rank_stem(name: Column | str) -> Column:
     return F.element_at(F.split(col(name), "_(scores|unrelaxed)_rank_001"), 1)
 
 
+def shown_name(name: Column | str) -> Column:
+    """A name as it is shown: lower case, words joined by hyphens."""
+    return F.lower(F.replace(col(name), F.lit("_"), F.lit("-")))
+
+
 def short_number(n: Column | str) -> Column:
     """Thousands as K, M, B: one decimal (halves up) below ten of the unit, none from there."""
     x = col(n).cast("double")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import euclidean, pair_index
 from ..session import Scratch
-from .ordered import running_sums
-from .pairwise import ks_by, wasserstein_by
+from .ordered import present, running_sums
+from .pairwise import ecdf_distances
 
 
 def log_sizes(low: int, high: int, steps: int) -> list[int]:
@@ -81,14 +81,26 @@ def convergence(vectors: DataFrame, key: str, vector: str, sizes: Sequence[int],
     work = Scratch(vectors.sparkSession, "convergence")
     cells = [(s, r, seed + 1000 * (r + 1) + s) for s in sizes for r in range(repetitions)]
     drawn = work.save(sampled_distances(vectors, key, vector, [*cells, (reference_size, -1, seed)]).select("sample_size", "repetition", F.col("distance").alias("v")), "samples")
-    parts, reference = drawn.filter("repetition >= 0"), drawn.filter("repetition < 0")
-    each_cell = F.explode(F.array(*[F.struct(F.lit(s).alias("sample_size"), F.lit(r).alias("repetition")) for s, r, _ in cells]))
-    theirs = reference.select(each_cell.alias("c"), "v").select("c.*", "v")
-    samples = parts.withColumn("side", F.lit(0)).unionByName(theirs.withColumn("side", F.lit(1)))
+    return convergence_of(drawn.filter("repetition >= 0"), drawn.filter("repetition < 0").select("v"))
+
+
+def convergence_of(parts: DataFrame, reference: DataFrame) -> DataFrame:
+    """The same table of samples that are there: `sample_size`, `repetition`, `v`, against the column `v` of `reference`.
+
+    The reference counts by distinct value before it meets the cells (sample size and repetition, a short list).
+    """
     keys = ["sample_size", "repetition"]
+    parts, reference = (x.filter(present("v")) for x in (parts, reference))
+    cells = [F.struct(*[F.lit(r[k]).alias(k) for k in keys]) for r in parts.select(*keys).distinct().collect()]
+    if not cells:
+        return parts.sparkSession.createDataFrame([], "sample_size bigint, mean_error double, mean_spread double, wasserstein double, ks double")
+    theirs = reference.groupBy("v").agg(F.count("*").alias("w")).select("v", "w", F.explode(F.array(*cells)).alias("c")).select("v", "w", "c.*")
+    mine = parts.groupBy(*keys, "v").agg(F.count("*").alias("u"))
+    counts = mine.withColumn("w", F.lit(0).cast("long")).unionByName(theirs.withColumn("u", F.lit(0).cast("long")).select(*keys, "v", "u", "w"))
+    distances = ecdf_distances(counts.groupBy(*keys, "v").agg(F.sum("u").alias("u"), F.sum("w").alias("w")), keys)
     means = parts.groupBy(*keys).agg(F.avg("v").alias("mean"))
     ref = reference.agg(F.avg("v").alias("ref"))
-    each = means.join(wasserstein_by(samples, keys), keys).join(ks_by(samples, keys), keys).join(F.broadcast(ref))
+    each = means.join(distances, keys).join(F.broadcast(ref))
     out = each.groupBy("sample_size", "ref").agg(F.abs(F.avg("mean") - F.col("ref")).alias("mean_error"), F.stddev_pop("mean").alias("mean_spread"), F.avg("wasserstein").alias("wasserstein"), F.avg("ks").alias("ks"))
     return out.select("sample_size", *[F.round(c, 6).alias(c) for c in ("mean_error", "mean_spread", "wasserstein", "ks")])
 
@@ -99,6 +111,24 @@ def gamma_fit(df: DataFrame, column: str) -> DataFrame:
     return m.select(F.round(F.try_divide(F.col("m") * F.col("m"), F.col("v")), 6).alias("shape"), F.round(F.try_divide(F.col("v"), F.col("m")), 6).alias("scale"))
 
 
+def gamma_density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
+    """`k`, `x`, `density` of the fitted gamma distribution at `points` places from the smallest to the largest value.
+
+    One row of moments reaches the driver. No rows without spread or with a mean of zero or less; places at or below
+    zero have density 0.
+    """
+    v = F.col(column).cast("double")
+    m = df.filter(present(column)).agg(F.avg(v).alias("m"), F.var_pop(v).alias("v"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    spark = df.sparkSession
+    if not m["v"] or m["m"] <= 0:
+        return spark.createDataFrame([], "k int, x double, density double")
+    shape, scale = m["m"] ** 2 / m["v"], m["v"] / m["m"]
+    x = F.lit(m["lo"]) + F.col("k") * ((m["hi"] - m["lo"]) / max(points - 1, 1))
+    density = F.exp((shape - 1) * F.log("x") - F.col("x") / scale - (math.lgamma(shape) + shape * math.log(scale)))
+    grid = spark.range(points).select(F.col("id").cast("int").alias("k")).withColumn("x", x)
+    return grid.select("k", F.round("x", 6).alias("x"), F.round(F.when(F.col("x") > 0, density).otherwise(0.0), 6).alias("density"))
+
+
 def hash_sample(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     """Exactly `size` rows without replacement, the same in every run: those with the smallest hash of a unique key."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)

@@ -48,6 +48,11 @@ def distance_columns(df: DataFrame, without: tuple[str, ...] = ("random",)) -> l
     return [c for c in df.columns if c.startswith("dist_") and not c[5:].startswith(without)]
 
 
+def store_name(column: str) -> str:
+    """The store of a `dist_` column."""
+    return column.removeprefix("dist_")
+
+
 def unfinished(names: DataFrame, done: DataFrame) -> DataFrame:
     """Stores that an interrupted run has yet to compute."""
     return names.join(done.select("embedding_name").distinct(), "embedding_name", "left_anti")

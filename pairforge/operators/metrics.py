@@ -85,10 +85,27 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     rows = df.filter(present(truth, prediction)).select(F.col(truth).cast("double").alias("t"), F.col(prediction).cast("double").alias("p"))
     err = F.col("t") - F.col("p")
     a = rows.agg(F.count("*").alias("n"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"), F.var_pop("t").alias("v"), moments_correlation("t", "p").alias("r"))
+    return a.select(*_metric_columns())
+
+
+def _metric_columns() -> list[F.Column]:
     r2 = F.when(F.col("v") > 0, 1 - F.try_divide(F.col("mse"), F.col("v"))).otherwise(F.when(F.col("mse") == 0, 1.0).otherwise(0.0))
     ok = F.col("n") >= 2
     named = [("mse", F.col("mse")), ("rmse", F.sqrt("mse")), ("mae", F.col("mae")), ("r2", r2), ("pearson", F.col("r")), ("pearson_r2", F.col("r") * F.col("r"))]
-    return a.select("n", *[F.round(F.when(ok, c), 6).alias(k) for k, c in named])
+    return [F.col("n"), *[F.round(F.when(ok, c), 6).alias(k) for k, c in named]]
+
+
+def metrics_by(df: DataFrame, keys: Sequence[str], truth: str, prediction: str) -> DataFrame:
+    """`regression_metrics` of every group of `keys` in one pass, so all experiments are evaluated by one job."""
+    rows = df.filter(present(truth, prediction)).select(*keys, F.col(truth).cast("double").alias("t"), F.col(prediction).cast("double").alias("p"))
+    err = F.col("t") - F.col("p")
+    a = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"), F.var_pop("t").alias("v"), moments_correlation("t", "p").alias("r"))
+    return a.select(*keys, *_metric_columns())
+
+
+def unevaluated(predictions: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Predictions of experiments that have no metrics yet, so that a second evaluation does only what is left."""
+    return predictions.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -146,8 +163,13 @@ STATISTICS: dict[str, Callable[[], F.Column]] = {
 }
 
 
-def bootstrap_interval(df: DataFrame, key: Sequence[str], truth: str, prediction: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """`statistic`, `valid`, `se`, `ci_low`, `ci_high` of Pearson's r squared and Spearman's rho.
+def bootstrap_interval(df: DataFrame, key: Sequence[str], truth: str, prediction: str, replicates: int = 1000, level: float = 0.95, seed: int = 42, statistics: dict[str, Callable[[], F.Column]] | None = None) -> DataFrame:
+    """`statistic`, `valid`, `se`, `ci_low`, `ci_high`, `doubtful` of each statistic, by default Pearson's r squared and
+    Spearman's rho.
+
+    `statistics` are expressions, made by the caller's functions, over a replicate's sums: `weight` (its rows), `t` and `p`
+    (truth and prediction), `u` and `v` (their ranks as shares), products `tt`, `pp`, `tp`, `uu`, `vv`, `uv`, and `abs`
+    and `square` of the errors. `doubtful` says that fewer than half of the replicates are valid.
 
     A Poisson bootstrap: like drawing with replacement, but no row needs to know the others, so one pass over the data
     serves all replicates and statistics, and the result doesn't depend on partitions. Spearman uses the sample's own
@@ -159,17 +181,19 @@ def bootstrap_interval(df: DataFrame, key: Sequence[str], truth: str, prediction
     size = F.broadcast(rows.agg(F.count("*").alias("_n")))
     ranked = ranked.join(size).withColumns({c: F.col(c) / F.col("_n") for c in "uv"})
     sums = {"t": F.col("t"), "p": F.col("p"), "tt": F.col("t") * F.col("t"), "pp": F.col("p") * F.col("p"), "tp": F.col("t") * F.col("p")}
+    error = F.col("t") - F.col("p")
+    sums |= {"abs": F.abs(error), "square": error * error}
     sums |= {"u": F.col("u"), "v": F.col("v"), "uu": F.col("u") * F.col("u"), "vv": F.col("v") * F.col("v"), "uv": F.col("u") * F.col("v")}
     # Each row costs thousands of draws, so it is worth a shuffle to keep all cores busy.
     wide = max(2 * default_parallelism(df.sparkSession), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     data = ranked.repartition(wide).select(*key, *[c.alias(n) for n, c in sums.items()])
-    each = F.array(*[F.struct(F.lit(n).alias("statistic"), f().alias("s")) for n, f in STATISTICS.items()])
+    each = F.array(*[F.struct(F.lit(n).alias("statistic"), f().alias("s")) for n, f in (statistics or STATISTICS).items()])
     values = bootstrap_sums(data, key, list(sums), replicates, seed).select(F.explode(each).alias("e")).select("e.*")
     tail = (1 - level) / 2
     q = F.percentile("s", F.array(F.lit(tail), F.lit(1 - tail)))
     a = values.groupBy("statistic").agg(F.count("s").alias("valid"), F.stddev_samp("s").alias("se"), q.alias("q"))
     ok = F.col("valid") > 1
-    return a.select("statistic", "valid", *[F.round(F.when(ok, c), 6).alias(k) for k, c in (("se", F.col("se")), ("ci_low", F.col("q")[0]), ("ci_high", F.col("q")[1]))])
+    return a.select("statistic", "valid", *[F.round(F.when(ok, c), 6).alias(k) for k, c in (("se", F.col("se")), ("ci_low", F.col("q")[0]), ("ci_high", F.col("q")[1]))], (2 * F.col("valid") < replicates).alias("doubtful"))
 
 
 def line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

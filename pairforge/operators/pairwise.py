@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -126,12 +127,21 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _steps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both ECDFs at each distinct value of two samples: `samples` has keys, `v` and `side` (0 or 1)."""
-    counts = samples.groupBy(*keys, "v").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("u"), F.sum("side").alias("w"))
+    return _count_steps(samples.groupBy(*keys, "v").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("u"), F.sum("side").alias("w")), keys)
+
+
+def _count_steps(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     sizes = counts.groupBy(*keys).agg(F.sum("u").alias("nu"), F.sum("w").alias("nw"))
     cum = running_sums(counts, keys, "v", ["u", "w"], lead=True)
     return cum.join(sizes, list(keys)).withColumn("gap", F.abs(F.col("cum_u") / F.col("nu") - F.col("cum_w") / F.col("nw")))
 
 
+def ecdf_distances(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`wasserstein` and `ks` of each key in one pass, from counts `u` and `w` of both samples at each distinct `v`."""
+    area = F.sum(F.col("gap") * (F.coalesce("next_v", "v") - F.col("v")))
+    return _count_steps(counts, keys).groupBy(*keys).agg(F.round(area, 6).alias("wasserstein"), F.round(F.max("gap"), 6).alias("ks"))
+
+
 def wasserstein_by(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Wasserstein-1 distance of the two samples of each key: the area between their ECDFs."""
     return _steps(samples, keys).groupBy(*keys).agg(F.round(F.sum(F.col("gap") * (F.coalesce("next_v", "v") - F.col("v"))), 6).alias("wasserstein"))
@@ -251,8 +261,25 @@ def dip(values: np.ndarray, counts: np.ndarray) -> float:
         a, b = a + left, a + right
 
 
+#: Uniform samples by whose dips a p-value is found, and their largest size; beyond it the dip's root-n law holds.
+DIP_SAMPLES, DIP_ROWS = 400, 256
+
+
+@lru_cache(maxsize=64)
+def _uniform_dips(rows: int) -> np.ndarray:
+    """Ascending dips of uniform samples, times the root of their size."""
+    rng = np.random.default_rng([20_24, rows])
+    return np.sort([dip(np.sort(rng.uniform(size=rows)), np.ones(rows)) for _ in range(DIP_SAMPLES)]) * math.sqrt(rows)
+
+
+def dip_p_value(d: float, n: int) -> float:
+    """The share of uniform samples of n rows whose dip is at least `d`, in steps of 1 / DIP_SAMPLES."""
+    null = _uniform_dips(min(n, DIP_ROWS))
+    return float((null >= d * math.sqrt(n) - 1e-12).mean())
+
+
 def dip_statistics(long: DataFrame, key: str, value: str, places: int = 4) -> DataFrame:
-    """`n`, `dip` per key of values rounded to `places` (the precision distances are stored with).
+    """`n`, `dip`, `p_value` per key of values rounded to `places` (the precision distances are stored with).
 
     A task holds one key's distinct rounded values, whose number doesn't grow with the rows; below ten rows null.
     """
@@ -262,7 +289,8 @@ def dip_statistics(long: DataFrame, key: str, value: str, places: int = 4) -> Da
         v, n = t.column("v").to_numpy(), t.column("n").to_numpy()
         order = np.argsort(v)
         d = round(float(dip(v[order], n[order])), 6) if n.sum() >= LEAST_ROWS else None
-        return pa.table({"k": t.column("k")[:1], "n": pa.array([int(n.sum())], pa.int64()), "dip": pa.array([d], pa.float64())})
+        p = None if d is None else dip_p_value(d, int(n.sum()))
+        return pa.table({"k": t.column("k")[:1], "n": pa.array([int(n.sum())], pa.int64()), "dip": pa.array([d], pa.float64()), "p_value": pa.array([p], pa.float64())})
 
     kind = long.schema[key].dataType.simpleString()
-    return counts.groupBy("k").applyInArrow(run, f"k {kind}, n bigint, dip double").withColumnRenamed("k", key)
+    return counts.groupBy("k").applyInArrow(run, f"k {kind}, n bigint, dip double, p_value double").withColumnRenamed("k", key)

@@ -58,9 +58,10 @@ def trend_lines(results: DataFrame, metric: str, skip: tuple[str, str] = ("fnn",
     return fit.select("parameter", "model_type", "n", F.round(F.col("slope") * 1e9, 6).alias("slope_per_1b"), F.round("r2", 6).alias("r2"), F.round("p_value", 6).alias("p_value"))
 
 
-def rank_by_parameter(results: DataFrame, model_type: str = "fnn") -> DataFrame:
-    """`parameter`, `embedding`, `abs_spearman`, `rank`: 1 is best; equal values rank by name, nulls last."""
-    a = results.filter(F.col("model_type") == model_type).select("parameter", "embedding", F.abs("spearman").alias("abs_spearman"))
+def rank_by_parameter(results: DataFrame, model_type: str = "fnn", without: Sequence[str] = ()) -> DataFrame:
+    """`parameter`, `embedding`, `abs_spearman`, `rank`: 1 is best; equal values rank by name, nulls last. Embeddings in
+    `without` are left out before ranks are given."""
+    a = results.filter((F.col("model_type") == model_type) & ~F.col("embedding").isin(*without)).select("parameter", "embedding", F.abs("spearman").alias("abs_spearman"))
     w = Window.partitionBy("parameter").orderBy(F.desc_nulls_last("abs_spearman"), "embedding")
     return a.withColumn("rank", F.row_number().over(w))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import copies, ingest, statistics, whole
+from . import copies, files, ingest, statistics, whole
 
-PARTS = [copies, ingest, statistics, whole]
+PARTS = [copies, files, ingest, statistics, whole]
 
 
 def queries() -> dict:

@@ -103,9 +103,9 @@ def run_common_corr(s, d):
     return pearson(compare.common_pairs(*_both(s, d)), "value", "value_2").select("n", "pearson")
 
 
-# Distances.
+# Distances of the pair table's proteins in every store.
 def long(s, d):
-    return distances.pair_distances(S.seq_hits(s, d).select("query", "target"), S.vector_stores(s, d), S.NAMES)
+    return distances.pair_distances(S.pairs(s, d), S.protein_stores(s, d), S.NAMES)
 
 
 def wide(s, d):
@@ -117,17 +117,28 @@ query("embedding_distance_missing", f"WITH {S.DIST} SELECT embedding_name, count
 query("distance_coverage", f"""WITH {S.DIST} SELECT embedding_name, count(*) AS pairs, count(distance) AS valid, round(count(distance) * 100.0::DOUBLE / count(*), 6) AS coverage_pct,
  round(avg(distance), 6) AS mean, round(stddev_samp(distance), 6) AS std FROM dist GROUP BY 1""")(lambda s, d: distances.coverage(long(s, d)))
 query("distance_wide", f"WITH {S.WIDE} SELECT * FROM wide")(wide)
-query("euclid_baseline", f"WITH {S.SEQ}, {S.STORES} SELECT p.query, p.target, round(list_distance(a.embedding, b.embedding), 6) AS prediction FROM seq_hits p JOIN stores a ON a.id = p.query AND a.embedding_name = 'm1' JOIN stores b ON b.id = p.target AND b.embedding_name = 'm1'")(
-    lambda s, d: _with_vectors(s, d).select("query", "target", F.round(P.euclidean("a", "b"), 6).alias("prediction")))
+query("euclid_baseline", f"WITH {S.PAIR_ROWS}, {S.STORES} SELECT p.query, p.target, round(list_distance(a.embedding, b.embedding), 6) AS prediction FROM pairs p JOIN stores a ON a.id = p.query AND a.embedding_name = 'plmx_base' JOIN stores b ON b.id = p.target AND b.embedding_name = 'plmx_base' WHERE len(a.embedding) = len(b.embedding)")(
+    lambda s, d: with_vectors(S.pairs(s, d), S.protein_stores(s, d), "plmx_base").filter(F.size("a") == F.size("b")).select("query", "target", F.round(P.euclidean("a", "b"), 6).alias("prediction")))
+query("store_info", "SELECT embedding_name, count(*) AS n_vectors, CAST(max(len(embedding)) AS INT) AS dim, max(len(embedding)) = min(len(embedding)) AS uniform FROM protein_embeddings WHERE embedding IS NOT NULL GROUP BY 1")(lambda s, d: readers.store_info(table(s, d, "protein_embeddings")))
+# Stores that were random or of a family left out; columns and names without prefix, lower case.
+query("distance_columns", "SELECT embedding_name, lower(replace(embedding_name, '_', '-')) AS label, count(DISTINCT id) AS n FROM protein_embeddings WHERE embedding_name IS NOT NULL AND NOT starts_with(embedding_name, 'random') GROUP BY ALL")(lambda s, d: _distance_columns(s, d))
 
 
-def _with_vectors(s, d, name: str = "m1"):
-    stores = S.vector_stores(s, d).filter(F.col("embedding_name") == name)
-    side = lambda c, v: stores.select(F.col("id").alias(c), F.col("embedding").alias(v))
-    return S.seq_hits(s, d).join(side("query", "a"), "query").join(side("target", "b"), "target")
+def _distance_columns(s, d):
+    e = table(s, d, "protein_embeddings").filter("embedding_name is not null")
+    counted = e.groupBy("id").pivot("embedding_name", S.NAMES).agg(F.count("embedding_file")).select("id", *[F.col(n).alias(f"dist_{n}") for n in S.NAMES])
+    kept = distances.distance_columns(counted)
+    each = F.explode(F.array(*[F.struct(F.lit(distances.store_name(c)).alias("embedding_name"), F.col(c).alias("c")) for c in kept])).alias("e")
+    return counted.select("id", each).select("id", "e.*").filter("c is not null").groupBy("embedding_name", P.shown_name("embedding_name").alias("label")).agg(F.count_distinct("id").alias("n"))
+
+
+def with_vectors(pairs, stores, name: str):
+    """Pairs with both vectors of one store, `a` and `b`."""
+    one = stores.filter(F.col("embedding_name") == name)
+    side = lambda c, v: one.select(F.col("id").alias(c), F.col("embedding").alias(v))
+    return pairs.join(side("query", "a"), "query").join(side("target", "b"), "target")
 
 
-query("store_info", f"WITH {S.STORES} SELECT embedding_name, count(*) AS n_vectors, CAST(max(len(embedding)) AS INT) AS dim, max(len(embedding)) = min(len(embedding)) AS uniform FROM stores GROUP BY 1")(lambda s, d: readers.store_info(S.vector_stores(s, d)))
 query("mean_pool", "SELECT vec_id, i, round((embedding[i] + embedding[i + 16] + embedding[i + 32] + embedding[i + 48]) / 4.0::DOUBLE, 5) AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings), (SELECT unnest(range(1, 17)) AS i)")(
     lambda s, d: distances.mean_pool(table(s, d, "embeddings").select("vec_id", F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(4)]).alias("m")), ["vec_id"], "m").select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", (F.col("p") + 1).cast("bigint").alias("i"), F.round("v", 5).alias("x")))
 query("missing_stores", "SELECT DISTINCT embedding_name FROM experiment_paths WHERE embedding_name NOT IN (SELECT embedding_name FROM protein_embeddings WHERE embedding_name IS NOT NULL)")(
@@ -173,8 +184,14 @@ def _numbered_groups(s, d):
     return split.group_by_representative(rows.join(names, "representative"), "line")
 
 
-query("keep_ids", f"""WITH {S.SEQ} SELECT query, target FROM seq_hits WHERE query IN (SELECT 'P' || CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id < 100) AND target IN (SELECT 'P' || CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id < 100)""")(
-    lambda s, d: merge.keep_ids(S.seq_hits(s, d).select("query", "target"), table(s, d, "embeddings").filter("vec_id < 100").select(F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("id"))))
+@query("keep_ids", f"""WITH k AS (SELECT DISTINCT {acc_sql('member')} AS id FROM cluster_members), r AS (SELECT pair_id, {acc_sql('query')} AS query, {acc_sql('target')} AS target FROM merged_protein_similarity)
+ SELECT pair_id, query, target FROM r WHERE query IN (SELECT id FROM k WHERE id IS NOT NULL) AND target IN (SELECT id FROM k WHERE id IS NOT NULL)""")
+def keep_ids(s, d):
+    """Rows of the pair table both of whose proteins are members of a cluster."""
+    rows = table(s, d, "merged_protein_similarity").select("pair_id", accession("query").alias("query"), accession("target").alias("target"))
+    return merge.keep_ids(rows, table(s, d, "cluster_members").select(accession("member").alias("id")).distinct())
+
+
 query("subset_fraction")(lambda s, d: fraction_sample(table(s, d, "orders"), "o_orderkey"))
 query("head_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000")(lambda s, d: table(s, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(1000))
 query("query_target_union", f"WITH {S.SEQ} SELECT query AS id FROM seq_hits UNION SELECT target FROM seq_hits")(lambda s, d: (lambda h: h.select(F.explode(F.array("query", "target")).alias("id")).distinct())(S.seq_hits(s, d)))

@@ -9,7 +9,7 @@ from ..operators import convergence, learn, metrics, novelty, pairwise, results
 from ..session import table
 from ..sources import readers
 from . import surrogates as S
-from .ingest import _with_vectors, long, merged, wide
+from .ingest import long, with_vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,9 +25,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-COLS = [f"dist_{n}" for n in S.NAMES]
-#: Queries over the stand-ins of hits and vectors that have no SQL.
-STAND_INS = ["dip_stat", "linear_fit", "linear_distance_fit", "fnn_fit"]
 DBL = "::DOUBLE"
 
 # Columns and column pairs.
@@ -39,17 +36,17 @@ query("hist1d", f"""WITH {S.STRUCT}, e AS (SELECT min(alntmscore) AS lo, max(aln
 query("hist2d", f"""WITH {S.PAIRS}, o AS (SELECT * FROM cp UNION ALL SELECT col_b, col_a, y, x FROM cp),
  e AS (SELECT col_a, col_b, min(x) AS xl, max(x) AS xh, min(y) AS yl, max(y) AS yh FROM o GROUP BY 1, 2 HAVING count(*) >= 10)
  SELECT col_a, col_b, CAST(least(floor((x - xl) / (xh - xl) * 50), 49) AS INT) AS bin_x, CAST(least(floor((y - yl) / (yh - yl) * 50), 49) AS INT) AS bin_y, count(*) AS count FROM o JOIN e USING (col_a, col_b) GROUP BY ALL""")(
-    lambda s, d: pairwise.histogram_2d(wide(s, d), COLS))
+    lambda s, d: pairwise.histogram_2d(S.scores(s, d), S.SCORES))
 query("hexbin", f"""WITH {S.PRED}, e AS (SELECT min(truth) AS xl, max(truth) AS xh, min(prediction) AS yl, max(prediction) AS yh FROM pred),
  a AS (SELECT (truth - xl) / ((xh - xl) / 100) AS sx, (prediction - yl) / ((yh - yl) / 57) AS sy FROM pred, e),
  b AS (SELECT sx, sy, round_even(sx, 0) AS i1, round_even(sy, 0) AS j1, floor(sx) AS i2, floor(sy) AS j2 FROM a),
  c AS (SELECT *, pow(sx - i1, 2) + 3 * pow(sy - j1, 2) < pow(sx - i2 - 0.5::DOUBLE, 2) + 3 * pow(sy - j2 - 0.5::DOUBLE, 2) AS near FROM b)
  SELECT CAST(CASE WHEN near THEN 0 ELSE 1 END AS INT) AS lattice, CAST(CASE WHEN near THEN i1 ELSE i2 END AS INT) AS i, CAST(CASE WHEN near THEN j1 ELSE j2 END AS INT) AS j, count(*) AS count FROM c GROUP BY ALL""")(
     lambda s, d: pairwise.hexbin(S.predictions(s, d), "truth", "prediction"))
-query("diff_median_matrix", f"WITH {S.PAIRS} SELECT col_a, col_b, round(median(abs(x - y)), 6) AS median_diff, count(*) AS n FROM cp GROUP BY 1, 2")(lambda s, d: pairwise.difference_medians(wide(s, d), COLS))
+query("diff_median_matrix", f"WITH {S.PAIRS} SELECT col_a, col_b, round(median(abs(x - y)), 6) AS median_diff, count(*) AS n FROM cp GROUP BY 1, 2")(lambda s, d: pairwise.difference_medians(S.scores(s, d), S.SCORES))
 query("dist_summary", f"""WITH {S.DIST} SELECT count(distance) AS n, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std, round(quantile_cont(distance, 0.25), 6) AS q25, round(median(distance), 6) AS median,
  round(quantile_cont(distance, 0.75), 6) AS q75, round(min(distance), 6) AS min, round(max(distance), 6) AS max, round(skewness(distance) * (count(distance) - 2) / sqrt(count(distance) * (count(distance) - 1.0::DOUBLE)), 6) AS skew, round(kurtosis_pop(distance), 6) AS kurtosis
- FROM dist WHERE embedding_name = 'm1'""")(lambda s, d: pairwise.distribution_summary(long(s, d).filter("embedding_name = 'm1'"), "distance"))
+ FROM dist WHERE embedding_name = 'plmx_base'""")(lambda s, d: pairwise.distribution_summary(long(s, d).filter("embedding_name = 'plmx_base'"), "distance"))
 query("pearson", f"WITH {S.PRED} SELECT count(*) AS n, round(corr(truth, prediction), 6) AS pearson FROM pred")(lambda s, d: metrics.pearson(S.predictions(s, d), "truth", "prediction").select("n", "pearson"))
 _RANK = lambda c, part="": f"rank() OVER ({part} ORDER BY {c}) + (count(*) OVER (PARTITION BY {(part.replace('PARTITION BY', '') + ',') if part else ''} {c}) - 1) / 2.0::DOUBLE"
 query("spearman", f"WITH {S.PRED}, r AS (SELECT {_RANK('truth')} AS a, {_RANK('prediction')} AS b FROM pred) SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM r")(
@@ -57,20 +54,25 @@ query("spearman", f"WITH {S.PRED}, r AS (SELECT {_RANK('truth')} AS a, {_RANK('p
 _PB = "PARTITION BY col_a, col_b"
 query("spearman_matrix_ci", f"""WITH {S.PAIRS}, r AS (SELECT col_a, col_b, {_RANK('x', _PB)} AS a, {_RANK('y', _PB)} AS b FROM cp), c AS (SELECT col_a, col_b, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY 1, 2)
  SELECT col_a, col_b, n, round(rho, 6) AS rho, round(tanh(atanh(rho) - 1.959963984540054::DOUBLE / sqrt(n - 3)), 6) AS ci_low, round(tanh(atanh(rho) + 1.959963984540054::DOUBLE / sqrt(n - 3)), 6) AS ci_high FROM c""")(
-    lambda s, d: pairwise.spearman_matrix(wide(s, d), COLS))
+    lambda s, d: pairwise.spearman_matrix(S.scores(s, d), S.SCORES))
 query("regression_metrics", f"""WITH {S.PRED} SELECT count(*) AS n, round(avg(pow(truth - prediction, 2)), 6) AS mse, round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse, round(avg(abs(truth - prediction)), 6) AS mae,
  round(1 - avg(pow(truth - prediction, 2)) / var_pop(truth), 6) AS r2, round(corr(truth, prediction), 6) AS pearson, round(pow(corr(truth, prediction), 2), 6) AS pearson_r2 FROM pred""")(
     lambda s, d: metrics.regression_metrics(S.predictions(s, d), "truth", "prediction"))
 query("ols_line", f"WITH {S.PRED} SELECT count(*) AS n, round(regr_slope(prediction, truth), 6) AS slope, round(regr_intercept(prediction, truth), 6) AS intercept, round(regr_r2(prediction, truth), 6) AS r2 FROM pred")(
     lambda s, d: metrics.line(S.predictions(s, d), "truth", "prediction").select("n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")]))
-# The t quantile of a large sample, to which DuckDB has no function, is that of the normal distribution here.
-query("ols_band")(lambda s, d: metrics.line_band(S.predictions(s, d), "truth", "prediction"))
+# DuckDB has no t quantile: its series around the normal one, exact to the digits shown at these numbers of rows.
+query("ols_band", f"""WITH {S.PRED}, m AS (SELECT count(*) AS n, min(truth) AS lo, max(truth) AS hi, avg(truth) AS mx, avg(prediction) AS my, var_pop(truth) AS vx, var_pop(prediction) AS vy, covar_pop(truth, prediction) AS c FROM pred),
+ z AS (SELECT *, c / vx AS slope, 1.959963984540054::DOUBLE AS z, n - 2.0::DOUBLE AS df FROM m),
+ t AS (SELECT *, z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df) AS q, (vy - slope * c) * n / df AS rest FROM z),
+ g AS (SELECT CAST(k AS INT) AS k, lo + k * (hi - lo) / 99.0::DOUBLE AS x, t.* FROM t, (SELECT unnest(range(100)) AS k)),
+ f AS (SELECT k, x, my + slope * (x - mx) AS fit, q * sqrt(rest * (1.0::DOUBLE / n + pow(x - mx, 2) / (n * vx))) AS half FROM g)
+ SELECT k, round(x, 6) AS x, round(fit, 6) AS fit, round(fit - half, 6) AS low, round(fit + half, 6) AS high FROM f""")(lambda s, d: metrics.line_band(S.predictions(s, d), "truth", "prediction"))
 _ECDF = lambda src, keys: f"""u AS (SELECT {keys}, v, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS a, sum(side) AS b FROM {src} GROUP BY ALL),
  g AS (SELECT {keys}, v, abs(sum(a) OVER w / CAST(sum(a) OVER (PARTITION BY {keys}) AS DOUBLE) - sum(b) OVER w / CAST(sum(b) OVER (PARTITION BY {keys}) AS DOUBLE)) AS gap, lead(v) OVER (PARTITION BY {keys} ORDER BY v) AS nx FROM u WINDOW w AS (PARTITION BY {keys} ORDER BY v))"""
 query("wasserstein_matrix", f"""WITH {S.PAIRS}, e AS (SELECT col_a, col_b, min(x) AS xl, max(x) AS xh, min(y) AS yl, max(y) AS yh, count(*) AS n FROM cp GROUP BY 1, 2),
  sm AS (SELECT col_a, col_b, (x - xl) / (xh - xl) AS v, 0 AS side FROM cp JOIN e USING (col_a, col_b) UNION ALL SELECT col_a, col_b, (y - yl) / (yh - yl), 1 FROM cp JOIN e USING (col_a, col_b)),
  {_ECDF('sm', 'col_a, col_b')} SELECT col_a, col_b, n, round(sum(gap * (coalesce(nx, v) - v)), 6) AS wasserstein FROM g JOIN e USING (col_a, col_b) GROUP BY 1, 2, 3""")(
-    lambda s, d: pairwise.wasserstein_matrix(wide(s, d), COLS))
+    lambda s, d: pairwise.wasserstein_matrix(S.scores(s, d), S.SCORES))
 
 
 def _two_splits(s, d):
@@ -99,6 +101,21 @@ query("ecdf_slices", f"""WITH {_Q}, r AS (SELECT CAST(1 + (truth > q[2])::INT +
 query("bootstrap_ci")(lambda s, d: metrics.bootstrap_interval(S.predictions(s, d), ["l_orderkey", "l_linenumber"], "truth", "prediction"))
 query("gamma_fit", f"WITH {S.STRUCT} SELECT round(pow(avg(alntmscore), 2) / var_pop(alntmscore), 6) AS shape, round(var_pop(alntmscore) / avg(alntmscore), 6) AS scale FROM struct_hits")(lambda s, d: convergence.gamma_fit(S.struct_hits(s, d), "alntmscore"))
 
+query("gamma_grid", f"""WITH {S.STRUCT}, m AS (SELECT avg(alntmscore) AS m, var_pop(alntmscore) AS v, min(alntmscore) AS lo, max(alntmscore) AS hi FROM struct_hits),
+ g AS (SELECT CAST(k AS INT) AS k, lo + k * ((hi - lo) / 199.0::DOUBLE) AS x, m * m / v AS a, v / m AS b FROM m, (SELECT unnest(range(200)) AS k))
+ SELECT k, round(x, 6) AS x, round(exp((a - 1) * ln(x) - x / b - (lgamma(a) + a * ln(b))), 6) AS density FROM g""")(lambda s, d: convergence.gamma_density(S.struct_hits(s, d), "alntmscore"))
+query("metrics_by_experiment", """WITH p AS (SELECT l_returnflag AS model, l_linestatus AS run, l_quantity / 50.0 AS t, l_quantity / 50.0 + (l_discount - 0.05) AS p FROM lineitem)
+ SELECT model, run, count(*) AS n, round(avg(pow(t - p, 2)), 6) AS mse, round(sqrt(avg(pow(t - p, 2))), 6) AS rmse, round(avg(abs(t - p)), 6) AS mae, round(1 - avg(pow(t - p, 2)) / var_pop(t), 6) AS r2, round(corr(t, p), 6) AS pearson, round(pow(corr(t, p), 2), 6) AS pearson_r2 FROM p WHERE model <> 'R' GROUP BY 1, 2""")(
+    lambda s, d: _evaluated(s, d))
+
+
+def _evaluated(s, d):
+    """All experiments in one job, but those that have metrics."""
+    p = table(s, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("run"), (F.col("l_quantity") / 50.0).alias("t"), (F.col("l_quantity") / 50.0 + (F.col("l_discount") - 0.05)).alias("p"))
+    done = s.createDataFrame([("R",)], "model string")
+    return metrics.metrics_by(metrics.unevaluated(p, done, ["model"]), ["model", "run"], "t", "p")
+
+
 # Results.
 query("results_pivot", f"WITH {S.RESULTS} SELECT model_type, embedding, round(avg(spearman) FILTER (parameter = 'fident'), 6) AS fident, round(avg(spearman) FILTER (parameter = 'alntmscore'), 6) AS alntmscore, round(avg(spearman) FILTER (parameter = 'hfsp'), 6) AS hfsp FROM results GROUP BY 1, 2")(
     lambda s, d: S.results(s, d).groupBy("model_type", "embedding").pivot("parameter", list(results.PARAMETER_ORDER)).agg(F.round(F.avg("spearman"), 6)))
@@ -114,6 +131,8 @@ def _ranks(s, d):
 
 
 query("rank_by_param", f"WITH {_RK} SELECT parameter, embedding, round(abs_spearman, 6) AS abs_spearman, rank FROM rk")(lambda s, d: _ranks(s, d).withColumn("abs_spearman", F.round("abs_spearman", 6)))
+query("rank_without", f"WITH {_RK.replace("model_type = 'fnn')", "model_type = 'fnn' AND embedding <> 'plmx_base')")} SELECT parameter, embedding, rank FROM rk")(
+    lambda s, d: results.rank_by_parameter(S.results(s, d).groupBy("model_type", "parameter", "embedding").agg(F.max_by("spearman", F.abs("spearman")).alias("spearman")), without=["plmx_base"]).select("parameter", "embedding", "rank"))
 query("final_rank", f"WITH {_RK}, a AS (SELECT embedding, avg(rank) AS average_rank FROM rk GROUP BY 1) SELECT embedding, round(average_rank, 2) AS average_rank, CAST(row_number() OVER (ORDER BY average_rank, embedding) AS INT) AS final_rank FROM a")(
     lambda s, d: results.final_ranking(_ranks(s, d)).select("embedding", "average_rank", "final_rank"))
 query("top_models", f"WITH {_RK}, a AS (SELECT embedding, avg(rank) AS average_rank FROM rk GROUP BY 1) SELECT embedding, round(average_rank, 2) AS average_rank FROM a ORDER BY average_rank, embedding LIMIT 5")(
@@ -172,11 +191,47 @@ query("order_dedup", "SELECT n_nationkey, 'b,' || n_name || ',a' AS x FROM natio
 # Pair sampling.
 query("pair_index_decode", "SELECT row_number() OVER (ORDER BY i, j) - 1 AS k, i, j FROM (SELECT unnest(range(400)) AS i), (SELECT unnest(range(400)) AS j) WHERE i < j")(
     lambda s, d: (lambda i, j: s.range(400 * 399 // 2).select(F.col("id").alias("k"), i.alias("i"), j.alias("j")))(*P.pair_index(F.col("id"), 400)))
-query("all_pair_distances", """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 200)
+query("all_pair_distances", """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
  SELECT a.r AS i, b.r AS j, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.r < b.r""")(
-    lambda s, d: convergence.sampled_distances(table(s, d, "embeddings").filter("vec_id < 200"), "vec_id", "embedding", [(10**6, 0, 1)]).select("i", "j", F.round("distance", 6).alias("distance")))
+    lambda s, d: convergence.all_distances(table(s, d, "embeddings"), "vec_id", "embedding").withColumn("distance", F.round("distance", 6)))
 query("convergence_table")(lambda s, d: convergence.convergence(table(s, d, "embeddings"), "vec_id", "embedding", convergence.log_sizes(100, 3000, 4), 3, 20000))
 
+# The same statistics of samples that SQL can name: each source's scores in each split, against all scores.
+_SPLITS = {"train": 1, "val": 2, "test": 3, "inter": 4}
+query("convergence_of_sources", f"""WITH a AS (SELECT {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _SPLITS.items()).join(('CASE split ', ' END'))} AS sample_size, CAST(right(source, 2) AS INT) AS repetition, alntmscore AS v
+  FROM merged_protein_similarity WHERE source IS NOT NULL AND NOT isnan(alntmscore)), r AS (SELECT alntmscore AS v FROM merged_protein_similarity WHERE NOT isnan(alntmscore)),
+ sm AS (SELECT sample_size, repetition, v, 0 AS side FROM a UNION ALL SELECT sample_size, repetition, v, 1 FROM (SELECT DISTINCT sample_size, repetition FROM a), r), {_ECDF('sm', 'sample_size, repetition')},
+ e AS (SELECT sample_size, repetition, round(sum(gap * (coalesce(nx, v) - v)), 6) AS w, round(max(gap), 6) AS ks FROM g GROUP BY 1, 2), m AS (SELECT sample_size, repetition, avg(v) AS mean FROM a GROUP BY 1, 2)
+ SELECT sample_size, round(abs(avg(mean) - (SELECT avg(v) FROM r)), 6) AS mean_error, round(stddev_pop(mean), 6) AS mean_spread, round(avg(w), 6) AS wasserstein, round(avg(ks), 6) AS ks FROM m JOIN e USING (sample_size, repetition) GROUP BY 1""")(
+    lambda s, d: _of_sources(s, d))
+
+
+def _of_sources(s, d):
+    m = table(s, d, "merged_protein_similarity")
+    size = F.coalesce(*[F.when(F.col("split") == k, v) for k, v in _SPLITS.items()])
+    parts = m.filter("source is not null").select(size.alias("sample_size"), F.substring("source", -2, 2).cast("int").alias("repetition"), F.col("alntmscore").alias("v"))
+    return convergence.convergence_of(parts, m.select(F.col("alntmscore").alias("v")))
+
+
+query("log_sizes", "SELECT DISTINCT CAST(floor(pow(10, 1 + 4 * i / 24.0::DOUBLE) + 1e-9) AS BIGINT) AS size FROM (SELECT unnest(range(25)) AS i)")(lambda s, d: s.createDataFrame([(n,) for n in convergence.log_sizes(10, 100_000, 25)], "size bigint"))
+# Samples by hash have no SQL; how many, whether each once and all of the table has.
+_SAMPLED = lambda n: f"SELECT {n} AS rows, {n} AS keys, {n} AS known FROM orders"
+_counted = lambda sample, whole: sample.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys")).join(sample.select("o_orderkey").join(whole, "o_orderkey", "left_semi").agg(F.count("*").alias("known")))
+query("subset_fraction_counts", _SAMPLED("CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT)"))(lambda s, d: _counted(convergence.fraction_sample(table(s, d, "orders"), "o_orderkey"), table(s, d, "orders")))
+query("sample_n_counts", _SAMPLED("least(count(*), 1000)"))(lambda s, d: _counted(convergence.hash_sample(table(s, d, "orders"), "o_orderkey", 1000), table(s, d, "orders")))
+query("random_vector_moments", "SELECT count(*) AS vectors, true AS length, true AS centred, true AS spread FROM embeddings")(lambda s, d: learn.random_vectors(table(s, d, "embeddings").select("vec_id"), "vec_id", 64).select("embedding", F.explode("embedding").alias("x")).agg(
+    (F.count("*") / 64).cast("bigint").alias("vectors"), (F.min(F.size("embedding")) == 64).alias("length"), (F.abs(F.avg("x")) < 5 / F.sqrt(F.count("*"))).alias("centred"), (F.abs(F.stddev("x") - 1) < 5 / F.sqrt(F.count("*"))).alias("spread")))
+query("bootstrap_brackets", f"WITH {S.PRED} SELECT 'mae' AS statistic, 1000 AS valid, true AS inside, false AS doubtful FROM pred HAVING count(*) > 0")(lambda s, d: _brackets(s, d))
+
+
+def _brackets(s, d):
+    """A statistic of the caller's, the mean absolute error: its interval holds the sample's own value."""
+    p = S.predictions(s, d)
+    ci = metrics.bootstrap_interval(p, ["l_orderkey", "l_linenumber"], "truth", "prediction", statistics={"mae": lambda: F.col("abs") / F.col("weight")})
+    own = metrics.regression_metrics(p, "truth", "prediction").select("mae")
+    return ci.join(F.broadcast(own)).select("statistic", F.col("valid").cast("int").alias("valid"), F.col("mae").between(F.col("ci_low"), F.col("ci_high")).alias("inside"), "doubtful")
+
+
 # Sequences and file formats, from the documents' letters.
 _LET = "SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents WHERE text IS NOT NULL"
 _letters = lambda s, d: table(s, d, "documents").filter("text is not null").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
@@ -218,7 +273,7 @@ query("unique_cells", f"WITH {S.RESULTS} SELECT DISTINCT parameter, model_type F
 query("finite_components", "SELECT vec_id, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1.0::DOUBLE ELSE 0 END)) AS replaced FROM protein_embeddings WHERE len(embedding) > 0")(
     lambda s, d: table(s, d, "protein_embeddings").filter(F.size("embedding") > 0).select("vec_id", F.aggregate(F.zip_with("embedding", learn.cleaned("embedding"), lambda a, b: F.when(a.isNull() | F.isnan(a) | (a.cast("double") != b), 1.0).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x).alias("replaced")))
 query("difference_extremes", f"WITH {S.PAIRS}, m AS (SELECT col_a, col_b, round(median(abs(x - y)), 6) AS d FROM cp GROUP BY 1, 2) SELECT min(d) AS least, max(d) AS most, round(max(d) * 1.1::DOUBLE, 6) AS upper FROM m")(
-    lambda s, d: pairwise.difference_medians(wide(s, d), COLS).agg(F.min("median_diff").alias("least"), F.max("median_diff").alias("most"), F.round(F.max("median_diff") * 1.1, 6).alias("upper")))
+    lambda s, d: pairwise.difference_medians(S.scores(s, d), S.SCORES).agg(F.min("median_diff").alias("least"), F.max("median_diff").alias("most"), F.round(F.max("median_diff") * 1.1, 6).alias("upper")))
 
 
 @query("xml_single_entry", f"WITH {S.RELEASES} SELECT cluster_id, count(*) AS n_members FROM orows WHERE cluster_id = 'C7' GROUP BY 1")
@@ -235,9 +290,14 @@ def pca_project(s, d):
     return scores.select("vec_id", *[F.round(F.col("scores")[i], 6).alias(f"pc{i + 1}") for i in range(3)])
 
 
+def hit_vectors(s, d):
+    """Hits with both vectors of the first store."""
+    return with_vectors(S.seq_hits(s, d), S.vector_stores(s, d), "m1")
+
+
 def _linear(kind):
     def run(s, d):
-        pairs = _with_vectors(s, d)
+        pairs = hit_vectors(s, d)
         return learn.predict_linear(learn.fit_linear(pairs, kind, "a", "b", "fident"), pairs, kind, "a", "b", ["query", "target"]).withColumn("prediction", F.round("prediction", 6))
 
     return run
@@ -249,7 +309,7 @@ query("linear_distance_fit")(_linear("linear_distance"))
 
 @query("fnn_fit")
 def fnn_fit(s, d):
-    pairs = _with_vectors(s, d)
+    pairs = hit_vectors(s, d)
     net = learn.fit_network(pairs, ["query", "target"], "a", "b", "fident")
     return learn.predict_network(net, pairs, "a", "b", ["query", "target"])
 

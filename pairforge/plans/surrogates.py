@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import accession, number_or_null
 from ..session import table
+from .copies import acc_sql
 
-NAMES = ["m1", "m2", "m3", "m4"]
-
-
-class Whole(str):
-    """A data folder whose hits and vectors are taken whole: every row, ids as they are (`plans/whole.py`)."""
+#: The embedding stores of the pair table's proteins, and those of the hits.
+NAMES = ["foldlm_s", "plmx_base", "plmx_large", "random_96"]
+HIT_NAMES = ["m1", "m2", "m3", "m4"]
 
 
 def _item(c) -> F.Column:
@@ -21,8 +21,6 @@ def _item(c) -> F.Column:
 def _hits(spark: SparkSession, sf: str, flags: tuple[str, str]) -> DataFrame:
     li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin(*flags))
     query, target = F.col("l_partkey"), F.col("l_suppkey") * 7 + F.col("l_linenumber")
-    if not isinstance(sf, Whole):
-        li, query, target = li.filter(F.col("l_suppkey") % 5 != 0), query % 200, target % 200
     return li.groupBy(_item(query).alias("query"), _item(target).alias("target"))
 
 
@@ -36,8 +34,8 @@ def struct_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf, ("A", "N")).agg((1 - F.min("l_tax") * 2).alias("qcov"), (1 - F.min("l_discount") * 3).alias("tcov"), (F.max("l_extendedprice") / 100000.0).alias("alntmscore"))
 
 
-_HIT = """SELECT 'P' || CAST(l_partkey % 200 AS VARCHAR) AS query, 'P' || CAST((l_suppkey * 7 + l_linenumber) % 200 AS VARCHAR) AS target, {agg}
- FROM lineitem WHERE l_returnflag IN ({flags}) AND l_suppkey % 5 <> 0 GROUP BY 1, 2"""
+_HIT = """SELECT 'P' || CAST(l_partkey AS VARCHAR) AS query, 'P' || CAST(l_suppkey * 7 + l_linenumber AS VARCHAR) AS target, {agg}
+ FROM lineitem WHERE l_returnflag IN ({flags}) GROUP BY 1, 2"""
 SEQ = "seq_hits AS (" + _HIT.format(flags="'A', 'R'", agg="max(l_quantity) / 50.0 AS fident, CAST(max(l_quantity) * 10 - 5 AS INT) AS nident, CAST(min(l_linenumber) * 3 AS INT) AS mismatch, 1 - min(l_tax) * 2 AS qcov, 1 - min(l_discount) * 3 AS tcov") + ")"
 STRUCT = "struct_hits AS (" + _HIT.format(flags="'A', 'N'", agg="1 - min(l_tax) * 2 AS qcov, 1 - min(l_discount) * 3 AS tcov, max(l_extendedprice) / 100000.0 AS alntmscore") + ")"
 HFSP_SQL = """CASE WHEN nident + mismatch <= 11 THEN fident * 100 - 100 WHEN nident + mismatch <= 450
@@ -45,38 +43,48 @@ HFSP_SQL = """CASE WHEN nident + mismatch <= 11 THEN fident * 100 - 100 WHEN nid
 
 
 def vector_stores(spark: SparkSession, sf: str) -> DataFrame:
-    """Four stores of 16 components each; m2 lacks every tenth item."""
+    """Four stores of 16 components each of every vector; m2 lacks every tenth item."""
     e = table(spark, sf, "embeddings")
-    if not isinstance(sf, Whole):
-        e = e.filter(F.col("vec_id") < 200)
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("embedding_name"), F.slice("embedding", 16 * i + 1, 16).alias("embedding")) for i, n in enumerate(NAMES)])).alias("s")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("embedding_name"), F.slice("embedding", 16 * i + 1, 16).alias("embedding")) for i, n in enumerate(HIT_NAMES)])).alias("s")
     return e.select(_item(F.col("vec_id")).alias("id"), "vec_id", each).select("id", "vec_id", "s.*").filter(~((F.col("embedding_name") == "m2") & (F.col("vec_id") % 10 == 0))).drop("vec_id")
 
 
-STORES = """stores AS (SELECT 'P' || CAST(vec_id AS VARCHAR) AS id, name AS embedding_name, CAST(embedding[16 * i + 1 : 16 * i + 16] AS DOUBLE[]) AS embedding
- FROM embeddings, (VALUES ('m1', 0), ('m2', 1), ('m3', 2), ('m4', 3)) AS t(name, i) WHERE vec_id < 200 AND NOT (name = 'm2' AND vec_id % 10 = 0))"""
-DIST = f"""{SEQ}, {STORES}, names AS (SELECT DISTINCT embedding_name FROM stores),
-dist AS (SELECT p.query, p.target, n.embedding_name, round_even(list_distance(a.embedding, b.embedding), 4) AS distance
- FROM seq_hits p CROSS JOIN names n LEFT JOIN stores a ON a.id = p.query AND a.embedding_name = n.embedding_name LEFT JOIN stores b ON b.id = p.target AND b.embedding_name = n.embedding_name)"""
-WIDE = DIST + """, wide AS (SELECT query, target, """ + ", ".join(f"max(CASE WHEN embedding_name = '{n}' THEN distance END) AS dist_{n}" for n in NAMES) + " FROM dist GROUP BY 1, 2)"
-PAIRS = WIDE + ", cp AS (" + " UNION ALL ".join(
-    f"SELECT 'dist_{a}' AS col_a, 'dist_{b}' AS col_b, dist_{a} AS x, dist_{b} AS y FROM wide WHERE dist_{a} IS NOT NULL AND dist_{b} IS NOT NULL" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]) + ")"
+HIT_STORES = """stores AS (SELECT 'P' || CAST(vec_id AS VARCHAR) AS id, name AS embedding_name, CAST(embedding[16 * i + 1 : 16 * i + 16] AS DOUBLE[]) AS embedding
+ FROM embeddings, (VALUES ('m1', 0), ('m2', 1), ('m3', 2), ('m4', 3)) AS t(name, i) WHERE NOT (name = 'm2' AND vec_id % 10 = 0))"""
 
 
-def whole_sql(sql: str) -> str:
-    """`sql` over the hits and vectors of `Whole`."""
-    for cut, whole in ((SEQ, SEQ_WHOLE), (STRUCT, STRUCT_WHOLE), (STORES, STORES_WHOLE)):
-        sql = sql.replace(cut, whole)
-    return sql
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every directed pair of proteins of the pair table once."""
+    rows = table(spark, sf, "merged_protein_similarity").select(accession("query").alias("query"), accession("target").alias("target"))
+    return rows.filter(F.col("query").isNotNull() & F.col("target").isNotNull()).distinct()
 
 
-def _uncut(part: str) -> str:
-    for cut in (" AND l_suppkey % 5 <> 0", "vec_id < 200 AND ", " % 200"):
-        part = part.replace(cut, "")
-    return part
+def protein_stores(spark: SparkSession, sf: str) -> DataFrame:
+    """`id`, `embedding_name`, `embedding`: of each protein in each named store its first vector of finite numbers only."""
+    e = table(spark, sf, "protein_embeddings").filter(F.col("id").isNotNull() & F.col("embedding_name").isNotNull() & (F.size("embedding") > 0))
+    e = e.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    return e.groupBy("id", "embedding_name").agg(F.min_by("embedding", "vec_id").alias("embedding"))
 
 
-SEQ_WHOLE, STRUCT_WHOLE, STORES_WHOLE = _uncut(SEQ), _uncut(STRUCT), _uncut(STORES)
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The three scores of every row of the pair table, missing ones null."""
+    return table(spark, sf, "merged_protein_similarity").select(*[number_or_null(c).alias(c) for c in SCORES])
+
+
+SCORES = ["fident", "hfsp", "alntmscore"]
+PAIR_ROWS = f"pairs AS (SELECT DISTINCT query, target FROM (SELECT {acc_sql('query')} AS query, {acc_sql('target')} AS target FROM merged_protein_similarity) WHERE query IS NOT NULL AND target IS NOT NULL)"
+STORES = """stores AS (SELECT id, embedding_name, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS embedding FROM protein_embeddings WHERE id IS NOT NULL AND embedding_name IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY 1, 2)"""
+_DISTANCE = """, names AS (SELECT unnest([{names}]) AS embedding_name),
+dist AS (SELECT p.query, p.target, n.embedding_name, CASE WHEN len(a.embedding) = len(b.embedding) THEN round_even(list_distance(a.embedding, b.embedding), 4) END AS distance
+ FROM {pairs} p CROSS JOIN names n LEFT JOIN stores a ON a.id = p.query AND a.embedding_name = n.embedding_name LEFT JOIN stores b ON b.id = p.target AND b.embedding_name = n.embedding_name)"""
+_listed = lambda names: ", ".join(f"'{n}'" for n in names)
+DIST = f"{PAIR_ROWS}, {STORES}" + _DISTANCE.format(names=_listed(NAMES), pairs="pairs")
+HIT_DIST = f"{SEQ}, {HIT_STORES}" + _DISTANCE.format(names=_listed(HIT_NAMES), pairs="seq_hits")
+WIDE = DIST + """, wide AS (SELECT query, target, """ + ", ".join(f"max(CASE WHEN embedding_name = '{n}' THEN distance END) AS dist_{n}" for n in NAMES) + " FROM dist GROUP BY 1, 2)"
+# Column pairs of the three scores, over rows with both.
+PAIRS = "sc AS (SELECT " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in SCORES) + " FROM merged_protein_similarity), cp AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {a} AS x, {b} AS y FROM sc WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, a in enumerate(SCORES) for b in SCORES[i + 1 :]) + ")"
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,47 +1,20 @@
-"""The queries over hits and vectors once more, as `<name>_whole`, over every row and every vector.
-
-The queries of `ingest` and `statistics` keep the small stand-ins of FIXTURES.md, to which their SQL belongs.
-"""
+"""Queries of the hits with the vectors of `embeddings`, and earlier names of queries that read their whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions.ids import accession
-from ..operators import convergence, merge
-from ..session import table
+from ..operators import distances
+from ..sources import readers
 from . import ingest, statistics
 from . import surrogates as S
-from .copies import acc_sql
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def _on_whole(f):
-    return lambda s, d: f(s, S.Whole(d))
-
-
-for _part in (ingest, statistics):
-    for _name, _f in _part.QUERIES.items():
-        _sql = _part.SQL.get(_name)
-        # keep_ids_whole has a list of ids of its own, below.
-        if _name != "keep_ids" and (_name in statistics.STAND_INS if _sql is None else any(x in _sql for x in (S.SEQ, S.STRUCT, S.STORES))):
-            QUERIES[f"{_name}_whole"] = _on_whole(_f)
-            if _sql:
-                SQL[f"{_name}_whole"] = S.whole_sql(_sql)
-
-SQL["all_pair_distances_whole"] = """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
- SELECT a.r AS i, b.r AS j, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.r < b.r"""
-QUERIES["all_pair_distances_whole"] = lambda s, d: convergence.all_distances(table(s, d, "embeddings"), "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
-
-
-def keep_ids_whole(s, d):
-    """Rows of the pair table both of whose proteins are members of a cluster."""
-    rows = table(s, d, "merged_protein_similarity").select("pair_id", accession("query").alias("query"), accession("target").alias("target"))
-    return merge.keep_ids(rows, table(s, d, "cluster_members").select(accession("member").alias("id")).distinct())
-
 
-QUERIES["keep_ids_whole"] = keep_ids_whole
-SQL["keep_ids_whole"] = f"""WITH k AS (SELECT DISTINCT {acc_sql('member')} AS id FROM cluster_members), r AS (SELECT pair_id, {acc_sql('query')} AS query, {acc_sql('target')} AS target FROM merged_protein_similarity)
- SELECT pair_id, query, target FROM r WHERE query IN (SELECT id FROM k WHERE id IS NOT NULL) AND target IN (SELECT id FROM k WHERE id IS NOT NULL)"""
+QUERIES: dict = {
+    "embedding_distance_whole": lambda s, d: distances.pair_distances(S.seq_hits(s, d).select("query", "target"), S.vector_stores(s, d), S.HIT_NAMES),
+    "store_info_whole": lambda s, d: readers.store_info(S.vector_stores(s, d)),
+}
+SQL: dict[str, str] = {
+    "embedding_distance_whole": f"WITH {S.HIT_DIST} SELECT query, target, embedding_name, distance FROM dist",
+    "store_info_whole": f"WITH {S.HIT_STORES} SELECT embedding_name, count(*) AS n_vectors, CAST(max(len(embedding)) AS INT) AS dim, max(len(embedding)) = min(len(embedding)) AS uniform FROM stores GROUP BY 1",
+}
+for _name in ("hfsp_score", "minmax_normalize", "all_pair_distances", "keep_ids"):
+    _part = ingest if _name in ingest.QUERIES else statistics
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = _part.QUERIES[_name], _part.SQL[_name]

@@ -75,13 +75,18 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/{job}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
         self._count = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
+        """A new path in the shared folder; what lies there goes when the application ends."""
         self._count += 1
-        path = f"{self.base}/{self._count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
         if self._count == 1:
             fs, base = self._at(self.base)
+            fs.mkdirs(base)
             fs.deleteOnExit(base)
+        return f"{self.base}/{self._count:03d}-{name}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,9 +89,11 @@ def pdb_rows(lines: DataFrame) -> DataFrame:
     return ordered.select("path", F.size("a").cast("bigint").alias("length"), F.array_join(values, ",").alias("plddt"))
 
 
-def xml_entries(spark: SparkSession, path: str) -> DataFrame:
-    """`cluster_id`, `members` of cluster XML, one row per `<entry>`; gzipped files are one task each."""
-    return xml_rows(spark.read.option("lineSep", "</entry>").text(path))
+def xml_entries(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """`cluster_id`, `members` of cluster XML, one row per `<entry>`; gzipped files are one task each. `most` stops after
+    so many entries, those without members included, without reading the rest of the file."""
+    text = spark.read.option("lineSep", "</entry>").text(path)
+    return xml_rows(text.limit(most) if most is not None else text)
 
 
 def xml_rows(chunks: DataFrame, text: str = "value") -> DataFrame:
@@ -107,6 +111,28 @@ def metric_lines(spark: SparkSession, root: str, pattern: str = "*_metrics.txt")
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
+def discovered_stores(spark: SparkSession, root: str) -> DataFrame:
+    """`store`, `n_vectors`, `dim`, `uniform`, `readable` of every Parquet store (`id`, `embedding`) directly under a folder.
+
+    A folder or file that is no such table is listed as not readable, with nulls; the listing is one row per store.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet"))
+    good, bad = [], []
+    for name in names:
+        try:
+            store = require(spark.read.parquet(f"{root}/{name}"), "id", "embedding")
+            good.append(store.select(F.lit(name.removesuffix(".parquet")).alias("embedding_name"), "embedding"))
+        except (AnalysisException, SparkRuntimeException, Py4JJavaError, ValueError):
+            bad.append((name.removesuffix(".parquet"),))
+    kind = "store string, n_vectors bigint, dim int, uniform boolean, readable boolean"
+    out = spark.createDataFrame([(n, None, None, None, False) for (n,) in bad], kind)
+    for store in good:
+        out = out.unionByName(store_info(store).withColumnRenamed("embedding_name", "store").withColumn("readable", F.lit(True)))
+    return out
+
+
 def store_info(stores: DataFrame) -> DataFrame:
     """Vectors, length and its uniformity per embedding store."""
     n = F.size("embedding")

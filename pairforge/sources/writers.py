@@ -15,6 +15,10 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def tsv(df: DataFrame, path: str, header: bool = True) -> None:
+    df.write.mode("overwrite").option("sep", "\t").option("header", str(header).lower()).csv(path)
+
+
 def lines(df: DataFrame, column: str, path: str) -> None:
     """One value per line; nulls are left out."""
     df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string")).write.mode("overwrite").text(path)

@@ -285,6 +285,70 @@ def test_models_learn(spark):
     assert learn.random_vectors(df.select("id"), "id", 4).collect() == learn.random_vectors(df.select("id"), "id", 4).collect()
 
 
+def test_training_goes_on_after_a_break(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(200, 5)), rng.normal(size=(200, 5))
+    y = ((a - b) ** 2).sum(1)
+    whole, history = learn.train_network(a, b, y, epochs=9, patience=9)
+    folder = learn.Checkpoints(spark, str(tmp_path / "run"))
+    assert folder.newest() is None
+    learn.train_network(a, b, y, epochs=4, patience=9, checkpoints=folder)
+    assert folder.epochs()[-1] == 3 and len(folder.epochs()) <= 2
+    again, told = learn.train_network(a, b, y, epochs=9, patience=9, checkpoints=folder)
+    assert told == history and all((p == q).all() for p, q in zip(whole.weights, again.weights))
+    assert all((p == q).all() for p, q in zip(learn.checkpoint_network(folder.newest()).weights, whole.weights))
+
+
+def test_batch_inference_by_the_newest_checkpoint(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(30, 4))
+    stores = spark.createDataFrame([(f"p{i}", n, v[i].tolist()) for i in range(30) for n in ("s", "t")], "id string, embedding_name string, embedding array<double>")
+    pairs = spark.createDataFrame([(f"p{i}", f"p{(i * 7) % 31}", i / 30) for i in range(30)], "query string, target string, y double")
+    both = pairs.join(stores.filter("embedding_name = 's'").selectExpr("id as query", "embedding as a"), "query").join(stores.filter("embedding_name = 's'").selectExpr("id as target", "embedding as b"), "target")
+    net = learn.fit_network(both, ["query", "target"], "a", "b", "y", folder=str(tmp_path / "one"), epochs=3)
+    runs = [("one", "s", str(tmp_path / "one")), ("other", "t", str(tmp_path / "one")), ("none", "s", str(tmp_path / "none"))]
+    got = learn.predict_experiments(runs, pairs, stores).collect()
+    want = {(r["query"], r["target"]): r["prediction"] for r in learn.predict_network(net, both, "a", "b", ["query", "target"]).collect()}
+    assert {(r["query"], r["target"]): r["prediction"] for r in got if r["experiment"] == "one"} == want and len(want) == 29
+    assert {r["experiment"] for r in got} == {"one", "other"}
+    left = learn.predict_experiments(runs, pairs, stores, spark.createDataFrame([("one",)], "experiment string"))
+    assert {r["experiment"] for r in left.collect()} == {"other"}
+
+
+def test_dip_p_values():
+    rng = np.random.default_rng(3)
+    one, two = np.sort(rng.uniform(size=500)), np.sort(np.concatenate([rng.normal(-3, 1, 250), rng.normal(3, 1, 250)]))
+    assert pairwise.dip_p_value(pairwise.dip(one, np.ones(500)), 500) > 0.05
+    assert pairwise.dip_p_value(pairwise.dip(two, np.ones(500)), 500) < 0.01
+    shares = [pairwise.dip_p_value(pairwise.dip(np.sort(rng.uniform(size=60)), np.ones(60)), 60) for _ in range(60)]
+    assert 0.35 < np.mean(shares) < 0.65
+
+
+def test_statistics_of_the_caller_and_doubtful_ones(spark):
+    df = spark.createDataFrame([(i, float(i), i + 0.5) for i in range(50)], "id int, t double, p double")
+    own = metrics.bootstrap_interval(df, ["id"], "t", "p", 60, statistics={"mae": lambda: F.col("abs") / F.col("weight"), "never": lambda: F.lit(None).cast("double")})
+    got = {r.statistic: r for r in own.collect()}
+    assert got["mae"].ci_low == got["mae"].ci_high == 0.5 and not got["mae"].doubtful
+    assert got["never"].valid == 0 and got["never"].ci_low is None and got["never"].doubtful
+
+
+def test_samples_without_spread_or_rows(spark):
+    assert convergence.gamma_density(pair_frame(spark, [(1.0, 0.0)] * 4), "a").count() == 0
+    assert convergence.gamma_density(pair_frame(spark, []), "a").count() == 0
+    parts = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (2, 0, 2.0), (2, 0, None)], "sample_size int, repetition int, v double")
+    got = {r.sample_size: r for r in convergence.convergence_of(parts, spark.createDataFrame([(1.0,), (3.0,), (math.nan,)], "v double")).collect()}
+    assert (got[1].mean_error, got[1].mean_spread, got[1].wasserstein, got[1].ks) == (0.0, 1.0, 1.0, 0.5) and got[2].wasserstein == 1.0
+    assert convergence.convergence_of(parts.limit(0), parts.select("v")).count() == 0
+
+
+def test_stores_that_cannot_be_read(spark, tmp_path):
+    spark.createDataFrame([("a", [1.0, 2.0])], "id string, embedding array<float>").write.parquet(str(tmp_path / "good.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "other.parquet"))
+    (tmp_path / "text.parquet").write_text("no table")
+    (tmp_path / "notes.txt").write_text("x")
+    assert values(readers.discovered_stores(spark, str(tmp_path))) == [("good", 1, 2, True, True), ("other", None, None, None, False), ("text", None, None, None, False)]
+
+
 def test_file_formats(spark, tmp_path):
     fasta = ">a first\nACD\nEF\n>b\n\n>c x\nU"
     (tmp_path / "x.fasta").write_text(fasta)
@@ -296,6 +360,7 @@ def test_file_formats(spark, tmp_path):
     xml = "<root>" + entry("C1", ref.format("Q1") + '<dbReference type="UniParc ID" id="UPI1">' + ref.format("Q1")) + entry("C2", "") + "</root>"
     (tmp_path / "x.xml").write_text(xml)
     assert values(readers.xml_entries(spark, str(tmp_path / "x.xml"))) == [("C1", ["UPI1", "Q1"])]
+    assert readers.xml_entries(spark, str(tmp_path / "x.xml"), 0).count() == 0 and readers.xml_entries(spark, str(tmp_path / "x.xml"), 1).count() == 1
     atom = "ATOM  {:>5}  CA  ALA A   1      11.111  22.222  33.333  1.00{:>6}           C"
     (tmp_path / "x.pdb").write_text("\n".join([atom.format(2, "80.50"), atom.format(1, "91.50"), atom.format(3, "oops"), atom.format(4, "7.00").replace(" CA ", " CB ")]))
     p = readers.pdb_confidence(spark, str(tmp_path / "x.pdb")).first()
