@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries: structure-tree packing.
 
 A text's headings, markup blocks, paragraphs, list items, lines, sentences and words form a tree: a node's children
-lie between its strongest inner boundaries. Sibling subtrees are merged bottom-up while they fit; only nodes that
-exceed the limit are descended into.
+lie between its strongest inner boundaries. A heading belongs to what follows it, and a fenced block's lines are only
+lines. Only nodes that exceed the limit are descended into; sibling subtrees, and what such a node leaves over, are
+merged bottom-up while they fit.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from .tokens import GAP, VOCABULARY, PieceEncoder, encoder
 
 LIMIT = 512
 OVERLAP = 64
+#: Texts whose pieces are handed on together.
+BATCH_TEXTS = 64
 
-#: Boundaries, the strongest first: headings by level, blocks, list items by indentation, lines, sentences, words.
-HEADING, BLOCK, ITEM, LINE, SENTENCE, WORD = 1, 7, 8, 11, 12, 13
+#: Boundaries, the strongest first: headings by level, blocks, list items by indentation, lines, sentences, words, and the
+#: end of a heading before its own text.
+HEADING, BLOCK, ITEM, LINE, SENTENCE, WORD, KEPT = 1, 7, 8, 11, 12, 13, 14
 LINE_START = re.compile(
     r"(?P<hash>\#{1,6})[ \t]"
     r"|(?P<indent>[ \t]*)(?:[-*+•]|\d{1,3}[.)])[ \t]"
@@ -30,12 +34,23 @@ LINE_START = re.compile(
 UNDERLINE = re.compile(r"(?:={3,}|-{3,})[ \t\r]*$")
 TAG = re.compile(r"<(?:h(?P<level>[1-6])|(?P<block>p|div|section|article|table|ul|ol|pre|blockquote)|(?P<item>li|tr|dt))[ >]", re.IGNORECASE)
 WIDE_STOP = re.compile("[。！？；]")
+HEADING_END = re.compile(r"</h([1-6])>\s*", re.IGNORECASE)
 STOPS = frozenset(".!?;。！？；")
 
 
-def structure(text: str) -> dict[int, int]:
-    """Places where a heading, block, list item or line begins, or a sentence without a space after it ends, with ranks."""
+def _opens_fence(line: str) -> str | None:
+    """The marks of a fence that this line opens, if any; text in backticks on one line is none."""
+    mark = line[0]
+    marks = line[: len(line) - len(line.lstrip(mark))]
+    return None if mark == "`" and "`" in line[len(marks) :] else marks
+
+
+def outline(text: str) -> tuple[dict[int, int], set[int]]:
+    """Places where a heading, block, list item or line begins, or a sentence without a space after it ends, with ranks;
+    and those among them where a heading's own text begins. An unclosed fence ends with the text."""
     best: dict[int, int] = {}
+    kept: set[int] = set()
+    fenced: list[tuple[int, int]] = []
 
     def mark(place: int, rank: int) -> None:
         if 0 < place < len(text) and rank < best.get(place, 99):
@@ -43,32 +58,60 @@ def structure(text: str) -> dict[int, int]:
 
     if "\n" in text:
         lines, at, blank, before = text.split("\n"), 0, False, 0
+        fence, opened, head = None, 0, None
         for k, line in enumerate(lines):
-            if not line or line.isspace():
+            if fence is not None:
+                mark(at, LINE)
+                rest = line.strip()
+                if rest.startswith(fence) and not rest.strip(fence[0]):
+                    fence, blank = None, True
+                    fenced.append((opened, at + len(line)))
+            elif not line or line.isspace():
                 blank = True
             else:
-                m = LINE_START.match(line)
+                m, level = LINE_START.match(line), None
                 if m is None:
                     rank = BLOCK if blank else LINE
                 elif m["hash"]:
-                    rank = HEADING - 1 + len(m["hash"])
+                    rank = level = HEADING - 1 + len(m["hash"])
                 elif m["block"]:
                     rank = BLOCK
+                    fence, opened = _opens_fence(line), at
                 else:
                     rank = ITEM + min(len(m["indent"].expandtabs(4)) // 2, 2)
                 mark(at, rank)
+                if head is not None and not (level is not None and level <= head):
+                    kept.add(at)
+                head = level
                 if k and line[0] in "=-" and lines[k - 1].strip() and UNDERLINE.match(line):
-                    mark(before, HEADING if line[0] == "=" else HEADING + 1)
+                    head = HEADING if line[0] == "=" else HEADING + 1
+                    mark(before, head)
+                    kept.add(at)
                 blank = False
             before = at
             at += len(line) + 1
+        if fence is not None:
+            fenced.append((opened, len(text)))
     if "<" in text:
+        outside = lambda place: not any(a <= place < b for a, b in fenced)
+        levels = {}
         for m in TAG.finditer(text):
-            mark(m.start(), HEADING - 1 + int(m["level"]) if m["level"] else BLOCK if m["block"] else ITEM)
+            if outside(m.start()):
+                mark(m.start(), HEADING - 1 + int(m["level"]) if m["level"] else BLOCK if m["block"] else ITEM)
+                if m["level"]:
+                    levels[m.start()] = int(m["level"])
+        for m in HEADING_END.finditer(text):
+            if m.end() in best and levels.get(m.end(), 9) > int(m[1]) and outside(m.start()):
+                kept.add(m.end())
     if not text.isascii():
         for m in WIDE_STOP.finditer(text):
             mark(m.end(), SENTENCE)
-    return best
+    return best, kept
+
+
+def structure(text: str) -> dict[int, int]:
+    """The places of `outline` with their ranks."""
+    return outline(text)[0]
 
 
 class TokenMap:
@@ -102,7 +145,7 @@ class TokenMap:
         places, before = self.gaps[:-1], self.before[:-1]
         ranks = np.full(len(places), WORD)
         ranks[1:][np.fromiter((p[-1:] in STOPS for p in self.parts[:-1]), bool, len(self.parts) - 1)] = SENTENCE
-        inside = structure(self.text)
+        inside, kept = outline(self.text)
         if not inside:
             return places, ranks, before
         marks = np.fromiter(sorted(inside), np.int64, len(inside))
@@ -122,7 +165,10 @@ class TokenMap:
             more[group] = before[k] + np.searchsorted(ends, at, "right")
         places = np.concatenate([places, marks[off]])
         order = np.argsort(places, kind="stable")
-        return places[order], np.concatenate([ranks, levels[off]])[order], np.concatenate([before, more[off]])[order]
+        places, ranks = places[order], np.concatenate([ranks, levels[off]])[order]
+        if kept:
+            ranks[np.isin(places, np.fromiter(kept, np.int64, len(kept)))] = KEPT
+        return places, ranks, np.concatenate([before, more[off]])[order]
 
 
 def _cut_run(enc: PieceEncoder, text: str, start: int, end: int, budget: int) -> list[int]:
@@ -147,6 +193,31 @@ def _cut_run(enc: PieceEncoder, text: str, start: int, end: int, budget: int) ->
         cuts.append(at)
 
 
+def packed(rank: np.ndarray, total: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """Consecutive runs of nodes, each of at most `budget` tokens or a single node.
+
+    `rank` of the boundary before each node, `total` tokens before each node and at the end. An oversized node is packed
+    by itself first; its parts then stand among its siblings. Neighbours are merged while they fit, but a part of an
+    oversized node not across a heading: there the heading is the better place to begin.
+    """
+
+    def pack(i: int, j: int) -> list[tuple[int, int, bool]]:
+        inner = rank[i + 1 : j]
+        heads = [i, *(np.flatnonzero(inner == inner.min()) + i + 1).tolist(), j]
+        out: list[tuple[int, int, bool]] = []
+        for x, y in zip(heads, heads[1:]):
+            whole = total[y] - total[x] <= budget or y - x == 1
+            for p, q, part in [(x, y, False)] if whole else [(p, q, True) for p, q, _ in pack(x, y)]:
+                if out and total[q] - total[out[-1][0]] <= budget and (rank[p] >= BLOCK or not (part or out[-1][2])):
+                    out[-1] = (out[-1][0], q, part or out[-1][2])
+                else:
+                    out.append((p, q, part))
+        return out
+
+    n = len(rank)
+    return [(0, n)] if n < 2 or total[n] - total[0] <= budget else [(i, j) for i, j, _ in pack(0, n)]
+
+
 def spans(tokens: TokenMap, budget: int) -> list[tuple[int, int]]:
     """Consecutive spans that cover the text, cut along its tree, each of about `budget` tokens at most."""
     text = tokens.text
@@ -154,25 +225,10 @@ def spans(tokens: TokenMap, budget: int) -> list[tuple[int, int]]:
     edges = np.concatenate([places, [len(text)]])
     total = np.concatenate([before, tokens.before[-1:]])
     out: list[tuple[int, int]] = []
-    stack = [(0, len(places))]
-    while stack:
-        i, j = stack.pop()
-        if total[j] - total[i] <= budget:
-            out.append((int(edges[i]), int(edges[j])))
-        elif j - i == 1:
-            a, b = int(edges[i]), int(edges[j])
-            inner = [a, *_cut_run(tokens.enc, text, a, b, budget), b]
-            out += list(zip(inner, inner[1:]))
-        else:
-            inner = rank[i + 1 : j]
-            heads = [i, *(np.flatnonzero(inner == inner.min()) + i + 1).tolist(), j]
-            merged = [(heads[0], heads[1])]
-            for x, y in zip(heads[1:], heads[2:]):
-                if total[y] - total[merged[-1][0]] <= budget:
-                    merged[-1] = (merged[-1][0], y)
-                else:
-                    merged.append((x, y))
-            stack.extend(reversed(merged))
+    for i, j in packed(rank, total, budget):
+        a, b = int(edges[i]), int(edges[j])
+        inner = [a, b] if total[j] - total[i] <= budget else [a, *_cut_run(tokens.enc, text, a, b, budget), b]
+        out += list(zip(inner, inner[1:]))
     return out
 
 
@@ -238,11 +294,19 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            for k, t in zip(b.column(0), b.column(1)):
-                t = t.as_py()
-                if got := pieces(enc, t, limit, overlap):
+            for at in range(0, b.num_rows, BATCH_TEXTS):
+                part = b.slice(at, BATCH_TEXTS)
+                rows, numbers, found, bodies = [], [], [], []
+                for row, t in enumerate(part.column(1).to_pylist()):
+                    got = pieces(enc, t, limit, overlap)
+                    rows += [row] * len(got)
+                    numbers += range(len(got))
+                    found += got
+                    bodies += [t[p[0] : p[2]] for p in got]
+                if rows:
+                    columns = [pa.array([p[i] for p in found], pa.int64()) for i in range(4)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k.as_py()] * len(got), k.type), pa.array(range(len(got)), pa.int32()), *[pa.array([p[i] for p in got], pa.int64()) for i in range(4)], pa.array([t[p[0] : p[2]] for p in got])],
+                        [part.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), *columns, pa.array(bodies, pa.string())],
                         names=["_key", "piece", "start", "own_start", "end", "n_tokens", "text"],
                     )
 

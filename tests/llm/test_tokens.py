@@ -1,13 +1,14 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pairforge.llm import tokens
 from pairforge.llm.packing import fill_containers, pack, usage
-from pairforge.llm.pieces import structure, pieces, split_texts
+from pairforge.llm.pieces import outline, packed, pieces, split_texts, structure
 from pairforge.llm.tokens import chunk_ids, chunks, encode, encoder, stitch, token_counts
 
 pytestmark = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary")
@@ -104,6 +105,39 @@ def test_tree_is_cut_at_headings_first(enc):
     assert STRUCTURED[got[0][2] :].startswith("## Two") and STRUCTURED[got[-1][0] :].startswith("# Three")
 
 
+def test_headings_stay_with_their_text(enc):
+    body = "A sentence of the body that says little. " * 30
+    text = f"# A\n\n{body}\n\n## B\n\n{body}\n\nC\n===\n{body}\n<h2>D</h2>\n<p>{body}</p>\n"
+    for limit in (60, 100, 256, 280, 300):
+        for s, a, b, n in pieces(enc, text, limit, 0):
+            own = text[a:b].strip()
+            assert not own.endswith(("# A", "## B", "C\n===", "\nC", "<h2>D</h2>")) and own not in ("C", "D")
+    assert outline("## A\n# B\nx")[1] == {len("## A\n# B\n")} and outline("# A\n\n## B\nx")[1] == {5, 10}
+
+
+def test_fences_are_opaque():
+    text = "# One\ntext\n```sh\n# no heading\n\n- no item\n<h1>no tag\n```\n# Two\n~~~\n# open to the end\n```\n"
+    rank = structure(text)
+    at = lambda part: rank[text.index(part)]
+    assert at("```sh") == 7 and at("# no heading") == at("- no item") == at("<h1>no tag") == 11
+    assert at("# Two") == 1 and at("# open to the end") == 11
+    assert structure("a\n```x``` inline\n# H\n")[text.index("x") and len("a\n```x``` inline\n")] == 1
+
+
+def test_no_two_neighbours_of_one_parent_fit(enc):
+    """Unless a heading stands between them and one is a part of an oversized node."""
+    rng = random.Random(6)
+    for _ in range(200):
+        n, budget = rng.randint(1, 60), rng.choice([8, 20, 50])
+        rank = np.array([rng.choice([1, 2, 7, 8, 11, 12, 13, 13, 13]) for _ in range(n)])
+        total = np.concatenate([[0], np.cumsum([rng.randint(1, 12) for _ in range(n)])])
+        got = packed(rank, total, budget)
+        assert [i for i, _ in got] == [0, *(j for _, j in got[:-1])] and got[-1][1] == n
+        assert all(total[j] - total[i] <= budget or j - i == 1 for i, j in got)
+        for (i, j), (_, k) in zip(got, got[1:]):
+            assert total[k] - total[i] > budget or rank[j] < 7
+
+
 def test_pieces_cover_and_overlap(enc):
     rng = random.Random(2)
     texts = [STRUCTURED * 3, "z" * 7000, "日本語。" * 900, " ".join(rng.choice(["a", "bb\n", "c.", "<p> d", "1"]) for _ in range(3000)), "🙂" * 800, "\n" * 3000, "ab " * 2000]
