@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 150_000
+ROWS_PER_BUCKET = 20_000
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], fields: Sequence[str], version: str) -> DataFrame:
