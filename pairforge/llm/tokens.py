@@ -30,6 +30,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: alternative of the pattern that matches the non-space takes the space along. Python's \s contains the pattern's.
 GAP = re.compile(r" (?=\S)")
 
+#: Other places where a pre-token surely starts, whatever surrounds them: after a letter or digit whatever is neither
+#: (no alternative of the pattern goes on from a letter with a mark, nor from a digit with one) and between a letter and a
+#: digit. Only characters whose kind no version of Unicode changes are named: ASCII, kana, CJK ideographs and their marks.
+_LETTER, _DIGIT, _MARK = "A-Za-zぁ-ゖァ-ヺ一-龥", "0-9", r" \t\r\n!-/:-@\[-`{-~、。！（），．：；？「」『』"
+SURE = re.compile(f" (?=\\S)|(?<=[{_LETTER}{_DIGIT}])(?=[{_MARK}])|(?<=[{_LETTER}])(?=[{_DIGIT}])|(?<=[{_DIGIT}])(?=[{_LETTER}])")
+
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 2_048
 #: Pieces whose ids a worker keeps, and the longest that it keeps.
@@ -83,18 +89,20 @@ def encoder(path: str = VOCABULARY) -> PieceEncoder:
 
 
 def chunks(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[int, int]]:
-    """Overlapping spans that cover the text. An overlap without any gap grows until it has one or the text ends."""
+    """Overlapping spans that cover the text. An overlap without a sure boundary grows until it has one or the text ends:
+    that is a text of one pre-token, which byte-pair merges may join from end to end."""
     out, start, n = [], 0, len(text)
     while True:
         cut = start + size
         if cut + overlap >= n:
             out.append((start, n))
             return out
-        gap = GAP.search(text, cut)
+        # The boundary must be one that both chunks see: not at the very start of the next one, with a character after it.
+        gap = SURE.search(text, cut + 1)
         if gap is None:
             out.append((start, n))
             return out
-        out.append((start, max(cut + overlap, gap.end() + 1)))
+        out.append((start, min(n, max(cut + overlap, gap.end() + 1))))
         start = cut
 
 
@@ -104,18 +112,16 @@ def chunk_ids(enc: PieceEncoder, text: str, start: int, core: int, last: bool) -
     `core` characters lie before the next chunk's start. The first chunk has no head, the last no tail.
     """
     at, head, tail, ids = 0, [], [], []
-    for k, p in enumerate(GAP.split(text)):
-        if k:
+    edges = [m.start() for m in SURE.finditer(text) if m.start()]
+    for end in [*edges, len(text)]:
+        piece = text[at:end]
+        if at:
             if start and len(head) < 64:
                 head.append((start + at, len(ids)))
             if not last and at >= core:
                 tail.append((start + at, len(ids)))
-            got = enc.kept.get(p) or enc._miss(p)
-            at += len(p) + 1
-        else:
-            got = enc.encoding.encode_ordinary(p)
-            at += len(p)
-        ids.extend(got)
+        ids.extend((enc.kept.get(piece[1:]) or enc._miss(piece[1:])) if piece.startswith(" ") else enc.encoding.encode_ordinary(piece))
+        at = end
     return ids, head, tail
 
 
@@ -199,7 +205,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chu
     Null and empty texts give an empty list, whatever `key` is; repeated keys give a row each, unless their texts are
     longer than a chunk, for which `key` must be unique. Other columns are not read. Texts of up to `chunk_chars`
     characters are encoded where they are read; only longer ones are cut into chunks, spread over the cluster and
-    stitched again. Text without any boundary makes its chunk longer, up to the whole text.
+    stitched again. A pre-token longer than a chunk makes its chunk longer, up to the whole text.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()

@@ -46,6 +46,25 @@ def test_stitched_chunks(enc):
     assert chunks("x" * 1000, 100, 10) == [(0, 1000)]
 
 
+def test_texts_without_spaces_have_bounded_chunks(enc):
+    rng = random.Random(3)
+    texts = ["\n".join("line%d" % i for i in range(3000)), "日本語の文。次の文！一二三" * 900, "".join(rng.choice(["ab", "7", "(", "）", "'s", "\t", "é", "。", "\r\n", "  "]) for _ in range(9000))]
+    for t in texts:
+        for size, overlap in ((400, 60), (1000, 50)):
+            spans = chunks(t, size, overlap)
+            assert len(spans) > len(t) // size - 2 and max(b - a for a, b in spans) <= size + overlap + 60
+            parts = [chunk_ids(enc, t[a:b], a, (spans[k + 1][0] if k + 1 < len(spans) else b) - a, k + 1 == len(spans)) for k, (a, b) in enumerate(spans)]
+            assert stitch(parts) == enc.encoding.encode_ordinary(t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("  \n\t'sdab19.。、一あ(\x1cé٣"), st.characters(exclude_categories=["Cs"])), max_size=80))
+def test_sure_boundaries_cut_nothing(t):
+    e = encoder()
+    cuts = [0, *(m.start() for m in tokens.SURE.finditer(t)), len(t)]
+    assert [i for a, b in zip(cuts, cuts[1:]) for i in e.encoding.encode_ordinary(t[a:b])] == e.encoding.encode_ordinary(t)
+
+
 def test_encode_in_spark(spark, enc):
     texts = [*ODD, None, "word " * 3000, "y" * 9000 + " z " * 900]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, ids int, _key string")
