@@ -85,14 +85,16 @@ def fill_containers(items: DataFrame, key: str, size: str, capacities: Sequence[
     most = max(capacities)
     kind = items.schema[key].dataType.simpleString()
     rows = items.select(F.col(key).alias("_key"), F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0).cast("long")).alias("n"))
+    # Equal items are numbered, so that a key which most rows share is spread over groups, and in every run in the same way.
+    rows = rows.groupBy("_key", "n").agg(F.count("*").alias("_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("long"))))
-    parts = rows.select("_key", "n", part.alias("part")).withColumn("offset", F.col("part") * most)
-    parts = parts.select("_key", "part", "offset", F.least(F.col("n") - F.col("offset"), F.lit(most).cast("long")).alias("length"))
+    parts = rows.select("_key", "n", "_copy", part.alias("part")).withColumn("offset", F.col("part") * most)
+    parts = parts.select("_key", "_copy", "part", "offset", F.least(F.col("n") - F.col("offset"), F.lit(most).cast("long")).alias("length"))
     groups = max(1, -(-(items.count() if n_items is None else n_items) // group_items))
-    parts = parts.withColumn("_group", F.pmod(F.xxhash64("_key", "part"), F.lit(groups)).cast("long"))
+    parts = parts.withColumn("_group", F.pmod(F.xxhash64("_key", "part", "_copy"), F.lit(groups)).cast("long"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("_key", "ascending"), ("part", "ascending"), ("length", "ascending")])
+        t = t.sort_by([("_key", "ascending"), ("_copy", "ascending"), ("part", "ascending"), ("length", "ascending")])
         sizes = t.column("length").to_pylist()
         where, capacity = pack(sizes, capacities, container_cost)
         used = [0] * len(capacity)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.ids import accession, canonical_path
 from ..operators.table_diff import pair_rows
 from ..plans.copies import acc_sql
-from ..session import table
+from ..session import Scratch, table
 from .components import connected_components
 from .groupsplit import protein_groups, protein_split
 from .neighbours import file_neighbours, mutual, search
 from .overlap import cross_split_classes, cross_split_pairs
 from .packing import fill_containers, usage
 from .pieces import split_texts
-from .tokens import encode, token_counts
+from .tokens import decode, encode, token_counts
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +122,42 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+# Invariants that SQL can state of results that it cannot compute.
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded ids are the texts, byte by byte."""
+    back = decode(p6_ids(spark, sf_dir), "doc_id", "ids")
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document lies whole in containers, none of which is overfull or has a gap between its items."""
+    work = Scratch(spark, "containers")
+    sizes = work.save(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    placed = work.save(fill_containers(sizes, "doc_id", "n_tokens", n_items=sizes.count()), "placed")
+    per = placed.groupBy("doc_id").agg(F.sum("length").alias("length")).join(sizes, "doc_id", "full")
+    documents = per.agg(F.count("*").alias("documents"), F.count_if(F.col("length") == F.col("n_tokens")).alias("whole"))
+    full = placed.groupBy("container_id", "capacity").agg(F.sum("length").alias("filled"), F.max(F.col("place") + F.col("length")).alias("end"))
+    return documents.join(full.agg(F.count_if(F.col("filled") > F.col("capacity")).alias("overfull"), F.count_if(F.col("filled") != F.col("end")).alias("gaps")))
+
+
+def p8_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The own parts of a text's pieces, joined, are the text; no piece exceeds the limit."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = F.expr("substring(text, cast(own_start - start as int) + 1)")
+    joined = p8_pieces(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", own.alias("own")))), lambda x: x["own"]), "").alias("joined"), F.max("n_tokens").alias("most"))
+    both = documents.filter("text is not null").join(joined, "doc_id", "left")
+    return both.select("doc_id", F.md5(F.coalesce("joined", "text").cast("binary")).alias("h"), (F.coalesce("most", F.lit(0)) <= 512).alias("fits"))
+
+
+P6_ROUND_TRIP_SQL = "SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents"
+P7_INVARIANTS_SQL = "SELECT count(*) AS documents, count(*) AS whole, 0 AS overfull, 0 AS gaps FROM documents"
+P8_JOINED_SQL = "SELECT doc_id, md5(text) AS h, true AS fits FROM documents WHERE text IS NOT NULL"
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_counts": p3_counts, "p4_split": p4_split, "p4_groups": p4_groups, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_pieces": p8_pieces}
+    return {"p2_found": p2_found, "p2_search": p2_search, "p3_found": p3_found, "p3_counts": p3_counts, "p4_split": p4_split, "p4_groups": p4_groups, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_pieces": p8_pieces,
+            "p6_round_trip": p6_round_trip, "p7_invariants": p7_invariants, "p8_joined": p8_joined}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p2_search": P2_SEARCH_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL, "p4_groups": P4_GROUPS_SQL, "p5_found": P5_SQL}
+    return {"p2_found": P2_SQL, "p2_search": P2_SEARCH_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL, "p4_groups": P4_GROUPS_SQL, "p5_found": P5_SQL, "p6_round_trip": P6_ROUND_TRIP_SQL, "p7_invariants": P7_INVARIANTS_SQL, "p8_joined": P8_JOINED_SQL}

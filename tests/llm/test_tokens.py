@@ -111,6 +111,16 @@ def test_containers_in_spark(spark):
     assert fill_containers(df.limit(0), "doc_id", "n").count() == 0
 
 
+def test_repeated_and_null_keys_are_spread(spark):
+    df = spark.createDataFrame([(None if i % 2 else 1, 10) for i in range(4000)], "doc_id bigint, n bigint")
+    rows = fill_containers(df, "doc_id", "n", (64,), group_items=100).collect()
+    assert len(rows) == 4000 and sum(r.doc_id is None for r in rows) == 2000
+    sizes = {}
+    for r in rows:
+        sizes[r.container_id >> 32] = sizes.get(r.container_id >> 32, 0) + 1
+    assert len(sizes) == 40 and max(sizes.values()) < 200
+
+
 STRUCTURED = "# One\n\nFirst part. It has sentences.\n\n- item a\n- item b\n  - nested\n\n## Two\n" + "Words and more words here. " * 40 + "\n\n# Three\nshort\n"
 
 
