@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import default_parallelism
+from .joins import HOT_ROWS, spread_join
 from .ordered import average_ranks, present, running_sums
 from .pairwise import moments_correlation, spearman_by
 
@@ -163,7 +164,7 @@ STATISTICS: dict[str, Callable[[], F.Column]] = {
 }
 
 
-def bootstrap_interval(df: DataFrame, key: Sequence[str], truth: str, prediction: str, replicates: int = 1000, level: float = 0.95, seed: int = 42, statistics: dict[str, Callable[[], F.Column]] | None = None) -> DataFrame:
+def bootstrap_interval(df: DataFrame, key: Sequence[str], truth: str, prediction: str, replicates: int = 1000, level: float = 0.95, seed: int = 42, statistics: dict[str, Callable[[], F.Column]] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """`statistic`, `valid`, `se`, `ci_low`, `ci_high`, `doubtful` of each statistic, by default Pearson's r squared and
     Spearman's rho.
 
@@ -177,7 +178,9 @@ def bootstrap_interval(df: DataFrame, key: Sequence[str], truth: str, prediction
     interval is null.
     """
     rows = df.filter(present(truth, prediction)).select(*key, F.col(truth).cast("double").alias("t"), F.col(prediction).cast("double").alias("p"))
-    ranked = rows.join(average_ranks(rows, [], "t", "u"), "t").join(average_ranks(rows, [], "p", "v"), "p")
+    # A value that very many rows share is not brought together: rows look its rank up where they are.
+    total = rows.count()
+    ranked = spread_join(spread_join(rows, average_ranks(rows, [], "t", "u"), "t", total, hot_rows), average_ranks(rows, [], "p", "v"), "p", total, hot_rows)
     size = F.broadcast(rows.agg(F.count("*").alias("_n")))
     ranked = ranked.join(size).withColumns({c: F.col(c) / F.col("_n") for c in "uv"})
     sums = {"t": F.col("t"), "p": F.col("p"), "tt": F.col("t") * F.col("t"), "pp": F.col("p") * F.col("p"), "tp": F.col("t") * F.col("p")}

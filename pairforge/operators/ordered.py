@@ -54,10 +54,10 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1 with ties averaged: one row per (keys, value), `out` and the tie count `<out>_ties`."""
+    """Ranks from 1 with ties averaged: one row per (keys, value), `out` and the number `n` of rows with that value."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     cum = running_sums(counts, keys, value, ["_n"])
-    return cum.select(*keys, value, (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+    return cum.select(*keys, value, (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out), F.col("_n").alias("n"))
 
 
 def present(*columns: str) -> Column:

@@ -102,7 +102,7 @@ def moments_correlation(x: str, y: str) -> F.Column:
 def spearman_by(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """`rho`, `n` per key from average ranks; ranks are taken among the key's own complete rows."""
     rows = df.filter(present(x, y))
-    rx, ry = average_ranks(rows, keys, x, "_rx"), average_ranks(rows, keys, y, "_ry")
+    rx, ry = average_ranks(rows, keys, x, "_rx").drop("n"), average_ranks(rows, keys, y, "_ry").drop("n")
     counts = rows.groupBy(*keys, x, y).agg(F.count("*").alias("_n"))
     ranked = counts.join(rx, [*keys, x]).join(ry, [*keys, y])
     # Weighted moments of the ranks, centred on their known mean, so large counts lose no digits.

@@ -95,6 +95,30 @@ def append_new_keys(s, d):
     return s.read.parquet(path)
 
 
+@query("json_round_trip", "SELECT event_id, user_id, event_type FROM events")
+def json_round_trip(s, d):
+    writers.json_table(table(s, d, "events").select("event_id", "user_id", "event_type"), path := _path(s, "events.json"))
+    kinds = table(s, d, "events").select("event_id", "user_id", "event_type").schema.simpleString()[7:-1].replace(":", " ")
+    return readers.json_table(s, path, kinds)
+
+
+@query("npz_round_trip", "SELECT 'v' || CAST(vec_id AS VARCHAR) AS name, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
+def npz_round_trip(s, d):
+    """Archives of a few vectors each."""
+    e = table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("file"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
+    saved = Scratch(s, "files").save(writers.npz_files(e, "file", "name", "embedding"), "archives")
+    return readers.npz_rows(saved).select("name", F.element_at("shape", 1).alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
+
+
+@query("sqlite_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
+def sqlite_round_trip(s, d):
+    """Databases of a thousand customers' orders each; the filter runs inside them."""
+    o = table(s, d, "orders").select(F.floor(F.col("o_custkey") / 1000).alias("file"), "o_orderkey", "o_custkey", "o_orderstatus")
+    saved = Scratch(s, "files").save(writers.sqlite_files(o.unionByName(o), "file", "orders", "o_orderkey"), "databases")
+    kinds = o.drop("file").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    return readers.sqlite_rows(saved, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'", kinds)
+
+
 def _xml(s, d, name: str) -> str:
     new, _ = S.releases(s, d)
     tag = F.transform("members", lambda m: F.concat(F.lit('<dbReference type="UniParc ID" id="'), m, F.lit('"/>')))

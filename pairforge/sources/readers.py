@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import sqlite3
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SEQUENCE_HITS = "query string, target string, fident double, alnlen bigint, mismatch bigint, gapopen bigint, nident bigint, qcov double, tcov double, evalue double"
 STRUCTURE_HITS = "query string, target string, fident double, evalue double, qcov double, tcov double, alntmscore double"
@@ -105,6 +112,52 @@ def xml_rows(chunks: DataFrame, text: str = "value") -> DataFrame:
     return rows.filter(F.col("cluster_id").isNotNull() & (F.size("members") > 0))
 
 
+def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON files, one per line; a line that is no record gives nulls."""
+    return spark.read.schema(schema).json(path)
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """`path`, `content` of every file; a file is one row, so at most 2 GB."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def npz_rows(files: DataFrame) -> DataFrame:
+    """`path`, `name`, `shape`, `values` (in the order of rows) of every numeric array in NumPy archives, of `path` and
+    `content`; what is no archive raises an error, as do pickled objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as arrays:
+                    for name in arrays.files:
+                        x = np.asarray(arrays[name], np.float64)
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([list(x.shape)], pa.list_(pa.int64())), pa.array([x.ravel()], pa.list_(pa.float64()))], names=["path", "name", "shape", "values"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, shape array<bigint>, values array<double>")
+
+
+def sqlite_rows(files: DataFrame, query: str, schema: str) -> DataFrame:
+    """The rows of `query` in every SQLite database of `path` and `content`, read in memory, as columns of `schema`.
+
+    Each file is one task's work; filters belong into `query`, where the database's indexes serve them.
+    """
+    kinds = files.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(1):
+                con = sqlite3.connect(":memory:")
+                con.deserialize(content.as_py())
+                rows = con.execute(query)
+                while part := rows.fetchmany(10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+                con.close()
+
+    return files.select("path", "content").mapInArrow(run, kinds)
+
+
 def metric_lines(spark: SparkSession, root: str, pattern: str = "*_metrics.txt") -> DataFrame:
     """`path`, `line` of every metrics file under a folder."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)

@@ -341,6 +341,24 @@ def test_samples_without_spread_or_rows(spark):
     assert convergence.convergence_of(parts.limit(0), parts.select("v")).count() == 0
 
 
+def test_hot_values_keep_their_ranks(spark):
+    df = spark.createDataFrame([(i, 1.0 if i % 3 else float(i), float(i % 7)) for i in range(300)], "id int, t double, p double")
+    runs = [{r.statistic: r for r in metrics.bootstrap_interval(df, ["id"], "t", "p", 40, hot_rows=h).collect()} for h in (10, 10**9)]
+    assert runs[0] == runs[1] and runs[0]["spearman"].valid == 40
+
+
+def test_archives_and_databases(spark, tmp_path):
+    np.savez(tmp_path / "x.npz", a=np.array([[1.0, 2.0], [3.0, 4.0]]), b=np.array([], np.float32))
+    got = values(readers.npz_rows(readers.binary_files(spark, str(tmp_path / "x.npz"))), "name", "shape", "values")
+    assert got == [("a", [2, 2], [1.0, 2.0, 3.0, 4.0]), ("b", [0], [])]
+    df = spark.createDataFrame([("f", "k1", "x", 1), ("f", "k1", "y", 2), ("g", "k2", None, None), ("g", None, "z", 3)], "file string, k string, v string, n int")
+    files = writers.sqlite_files(df, "file", "t", "k")
+    assert values(readers.sqlite_rows(files, "SELECT k, v, n FROM t", "k string, v string, n int")) == [("k1", "x", 1), ("k2", None, None), (None, "z", 3)]
+    assert readers.sqlite_rows(files.limit(0), "SELECT 1", "k int").count() == 0
+    (tmp_path / "c.json").write_text('{"a": 1, "b": "x"}\noops\n{"b": "y"}\n')
+    assert values(readers.json_table(spark, str(tmp_path / "c.json"), "a int, b string")) == [(1, "x"), (None, "y"), (None, None)]
+
+
 def test_stores_that_cannot_be_read(spark, tmp_path):
     spark.createDataFrame([("a", [1.0, 2.0])], "id string, embedding array<float>").write.parquet(str(tmp_path / "good.parquet"))
     spark.range(3).write.parquet(str(tmp_path / "other.parquet"))
