@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import HOT_ROWS, spread_join
 from ..session import Scratch
 
 #: Groups of more than this share of all records are placed one by one, largest first.
@@ -53,47 +54,29 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], names=["record", "parent"])
 
 
-#: Keys with more rows than this are joined by a broadcast, if they also hold a HOT_SHARE of all rows.
-HOT_ROWS = 100_000
-HOT_SHARE = 0.001
-
-
-def _spread_join(rows: DataFrame, sums: DataFrame, key: str, total: int, hot_rows: int) -> DataFrame:
-    """`rows` joined with `sums` (`key`, `n` rows of that key in `rows`, ...) on `key`, without `n`.
-
-    Rows of hot keys never meet in one place: their sums are broadcast to where they lie. At most 1 / HOT_SHARE keys
-    hold such a share, so the broadcast is bounded whatever the input; all other keys are joined by a shuffle.
-    """
-    hot = sums.filter(F.col("n") > max(hot_rows, int(total * HOT_SHARE)))
-    few = hot.collect()
-    cold = rows.join(sums.drop("n"), key)
-    if not few:
-        return cold
-    known = F.broadcast(rows.sparkSession.createDataFrame(few, sums.schema).drop("n"))
-    rest = rows.join(known.select(key), key, "left_anti").join(sums.drop("n"), key)
-    return rest.unionByName(rows.join(known, key))
-
-
-def propagate(memberships: DataFrame, work: Scratch, task_rows: int = TASK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def propagate(memberships: DataFrame, work: Scratch, task_rows: int = TASK_ROWS, hot_rows: int = HOT_ROWS, stars: DataFrame | None = None) -> DataFrame:
     """`record`, `group_id` (the smallest record of its component) of every record that shares an entity with another.
 
-    `memberships`: `record`, `entity` (strings, no nulls). In a round every entity takes its smallest record and is
+    `memberships`: `record`, `entity` (strings, no nulls); repeated rows change nothing. `stars`, if there are any, are
+    memberships of entities that are named by their smallest record already, its own row included. In a round every entity takes its smallest record and is
     from then on named by it, so entities that took the same record are one; every record takes the smallest its
     entities took, and records with the same label are one. Each round needs partial aggregations and one join per
     side; the rows of a hot entity or record are never brought together in one place. A contracted graph of at most
     `task_rows` memberships is finished by one bounded task.
     """
     steps: list[DataFrame] = []
-    graph = work.save(memberships.distinct(), "graph")
+    graph = work.save(memberships, "graph")
     while True:
-        total = graph.count()
+        total = graph.count() + (stars.count() if stars is not None else 0)
         if 0 < total <= task_rows:
-            steps.append(work.save(graph.coalesce(1).mapInArrow(_local, "record string, parent string"), "parent"))
+            whole = graph if stars is None else graph.unionByName(stars)
+            steps.append(work.save(whole.coalesce(1).mapInArrow(_local, "record string, parent string"), "parent"))
             work.drop(graph)
             break
         low = graph.groupBy("entity").agg(F.min("record").alias("low"), F.max("record").alias("high"), F.count("*").alias("n"))
         low = work.save(low.filter("low <> high").select("entity", "low", "n"), "low")
-        linked = work.save(_spread_join(graph, low, "entity", total, hot_rows).select("record", F.col("low").alias("entity")), "linked")
+        linked = spread_join(graph, low, "entity", total, hot_rows).select("record", F.col("low").alias("entity"))
+        linked, stars = work.save(linked if stars is None else linked.unionByName(stars), "linked"), None
         work.drop(graph, low)
         parent = work.save(linked.groupBy("record").agg(F.min("entity").alias("parent"), F.count("*").alias("n")), "parent")
         if parent.isEmpty():
@@ -104,7 +87,7 @@ def propagate(memberships: DataFrame, work: Scratch, task_rows: int = TASK_ROWS,
         further = work.save(parent.join(above, "parent", "left").select("record", F.coalesce("above", "parent").alias("parent"), "n"), "parent")
         work.drop(parent)
         steps.append(further)
-        moved = _spread_join(linked, further, "record", total, hot_rows).select(F.col("parent").alias("record"), "entity").distinct()
+        moved = spread_join(linked, further, "record", total, hot_rows).select(F.col("parent").alias("record"), "entity").distinct()
         graph = work.save(moved, "graph")
         work.drop(linked)
     label = None
@@ -146,19 +129,20 @@ def place(sizes: np.ndarray, shares: Sequence[float]) -> np.ndarray:
     return out
 
 
-def with_groups(records: DataFrame, memberships: DataFrame, work: Scratch) -> DataFrame:
+def with_groups(records: DataFrame, memberships: DataFrame, work: Scratch, stars: DataFrame | None = None) -> DataFrame:
     """`record`, `group_id`, `label` of every record; a record without entity is a group, a null label is ''."""
     known = memberships.filter(F.col("record").isNotNull() & F.col("entity").isNotNull()).select("record", "entity")
-    label = propagate(known, work)
+    label = propagate(known, work, stars=stars)
     return records.join(label, "record", "left").select("record", F.coalesce("group_id", "record").alias("group_id"), F.coalesce("label", F.lit("")).alias("label"))
 
 
-def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
+def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, float], seed: int = 0, stars: DataFrame | None = None) -> DataFrame:
     """`record`, `group_id`, `split` of every record.
 
     `records`: `record` (string, unique) and `label` (string, null is a label of its own); `memberships`: `record`,
     `entity`. Records that share an entity, directly or through others, get one group and one split; a record without
-    entity is a group. A membership with a null end is nothing. Shares need not sum to one. Groups of more than
+    entity is a group. A membership with a null end is nothing. Shares need not sum to one. `stars` are
+    further memberships, in the form that `propagate` names. Groups of more than
     LARGE_SHARE of all records (at most 1 / LARGE_SHARE of them) are placed one by one, all others in CELLS cells per
     label, by the label most of their records have (smallest label at a tie) and a hash of the group: what the driver
     places is bounded, whatever the input. A cell holds about 1 / CELLS of its label's records, so that is about what
@@ -166,7 +150,7 @@ def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, f
     """
     spark = records.sparkSession
     work = Scratch(spark, "groupsplit")
-    grouped = work.save(with_groups(records, memberships, work), "grouped")
+    grouped = work.save(with_groups(records, memberships, work, stars), "grouped")
     by_label = grouped.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS + 1).collect()
     if not by_label:
         return grouped.select("record", "group_id", F.lit(None).cast("string").alias("split"))
@@ -193,10 +177,10 @@ def split_groups(records: DataFrame, memberships: DataFrame, shares: dict[str, f
     return grouped.join(placed, "group_id").select("record", "group_id", "split")
 
 
-def _protein_graph(pairs: DataFrame, clusters: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Records (the proteins, labelled by the tables they occur in: 1 pairs, 2 clusters, 3 both) and memberships.
+def _protein_graph(pairs: DataFrame, clusters: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records (the proteins, labelled by the tables they occur in: 1 pairs, 2 clusters, 3 both), memberships and stars.
 
-    A pair's entity is its smaller protein, whose star holds all its partners. Missing ends, members and cluster ids
+    A pair's entity is its smaller protein, whose star holds all its larger partners. Missing ends, members and cluster ids
     link nothing.
     """
     from ..functions.ids import accession
@@ -207,10 +191,10 @@ def _protein_graph(pairs: DataFrame, clusters: DataFrame, work: Scratch) -> tupl
     held = clusters.select(accession("member").alias("record"), F.concat(F.lit("c:"), F.col("cluster_id").cast("string")).alias("entity")).filter(F.col("record").isNotNull())
     held = work.save(held.distinct(), "held")
     linked = edges.filter(F.col("a") < F.col("b"))
-    memberships = linked.select(F.explode(F.array("b", "a")).alias("record"), F.concat(F.lit("p:"), "a").alias("entity"))
+    stars = linked.select(F.col("b").alias("record"), F.col("a").alias("entity")).unionByName(linked.select(F.col("a").alias("record"), F.col("a").alias("entity")).distinct())
     seen = edges.select(F.explode(F.array("a", "b")).alias("record"), F.lit(1).alias("bit")).unionByName(held.select("record", F.lit(2).alias("bit")))
     records = seen.groupBy("record").agg(F.bit_or("bit").cast("string").alias("label"))
-    return records, memberships.unionByName(held.filter(F.col("entity").isNotNull()))
+    return records, held.filter(F.col("entity").isNotNull()), stars
 
 
 def protein_split(pairs: DataFrame, clusters: DataFrame, shares: dict[str, float]) -> DataFrame:
@@ -220,7 +204,8 @@ def protein_split(pairs: DataFrame, clusters: DataFrame, shares: dict[str, float
     tables in which a protein occurs.
     """
     work = Scratch(pairs.sparkSession, "proteins")
-    done = split_groups(*_protein_graph(pairs, clusters, work), shares)
+    records, memberships, stars = _protein_graph(pairs, clusters, work)
+    done = split_groups(records, memberships, shares, stars=stars)
     # What is returned reads the tables of split_groups only.
     work.drop_all()
     return done.withColumnRenamed("record", "protein")
@@ -229,4 +214,5 @@ def protein_split(pairs: DataFrame, clusters: DataFrame, shares: dict[str, float
 def protein_groups(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """`protein`, `group_id` (the smallest protein it is related to) of the same proteins, without the split."""
     work = Scratch(pairs.sparkSession, "proteins")
-    return with_groups(*_protein_graph(pairs, clusters, work), work).select(F.col("record").alias("protein"), "group_id")
+    records, memberships, stars = _protein_graph(pairs, clusters, work)
+    return with_groups(records, memberships, work, stars).select(F.col("record").alias("protein"), "group_id")
