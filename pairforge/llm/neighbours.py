@@ -275,14 +275,20 @@ def _cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(out, 9))], names=["a", "b", "similarity"])
 
 
-def usable_vectors(df: DataFrame, key: str, group: F.Column, vector: str) -> DataFrame:
-    """`id`, `grp`, `vec`: vectors of the most frequent length of their group (the longer of two equally frequent),
+#: Files whose one row each is broadcast; with more, rows meet it by a shuffle.
+FEW_FILES = 10_000
+
+
+def usable_vectors(df: DataFrame, key: str, group: F.Column, vector: str, work: Scratch) -> DataFrame:
+    """`id`, `file` (a hash of the group), `vec`: vectors of the most frequent length of their group (the longer of two equally frequent),
     with finite numbers only and not all zero. Null vectors and rows without a group fall out."""
     rows = df.select(F.col(key).cast("long").alias("id"), group.alias("grp"), F.col(vector).alias("vec"))
-    rows = rows.filter(F.col("vec").isNotNull() & F.col("grp").isNotNull())
-    lengths = rows.groupBy("grp", F.size("vec").alias("len")).count().groupBy("grp").agg(F.max(F.struct("count", "len"))["len"].alias("len"))
+    rows = rows.filter(F.col("vec").isNotNull() & F.col("grp").isNotNull()).select("id", F.xxhash64("grp").alias("file"), "vec")
+    lengths = rows.groupBy("file", F.size("vec").alias("len")).count().groupBy("file").agg(F.max(F.struct("count", "len"))["len"].alias("len"))
+    lengths = work.save(lengths, "lengths")
+    lengths = F.broadcast(lengths) if lengths.count() <= FEW_FILES else lengths
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
-    return rows.join(lengths, "grp").filter((F.size("vec") == F.col("len")) & (F.col("len") > 0) & fine).select("id", "grp", "vec")
+    return rows.join(lengths, "file").filter((F.size("vec") == F.col("len")) & (F.col("len") > 0) & fine).select("id", "file", "vec")
 
 
 def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10, least: float = 0.9, recall: float = RECALL, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -295,23 +301,28 @@ def nearest(df: DataFrame, key: str, group: F.Column, vector: str, k: int = 10,
     afterwards share one list of the k + 1 smallest ids, so no group of copies is expanded into pairs. Keys must be
     unique; unusable vectors neither ask nor answer. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    work = Scratch(spark, "neighbours")
-    good = usable_vectors(df, key, group, vector)
-    marked = good.withColumn("file", F.xxhash64("grp")).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec"))
+    work = Scratch(df.sparkSession, "neighbours")
+    return _nearest(usable_vectors(df, key, group, vector, work), k, least, recall, block_rows, work)
+
+
+def _nearest(good: DataFrame, k: int, least: float, recall: float, block_rows: int, work: Scratch) -> DataFrame:
+    """`nearest` of usable vectors."""
+    spark = good.sparkSession
+    marked = work.save(good.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec")), "marked")
     keys = marked.select("id", "file", "h1", "h2")
     copied = keys.groupBy("file", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter(F.col("n") > 1)
     members = keys.join(copied, ["file", "h1", "h2"]).select("id", "rep")
     members = work.save(members, "copies")
     reps = marked.join(members.filter(F.col("id") != F.col("rep")), "id", "left_anti").select("id", "file", F.col("vec").cast("array<float>").alias("vec"))
     reps = work.save(reps, "vectors")
+    work.drop(marked)
     # Functions by the size of the vector's own file; the driver sees their few distinct numbers.
     n = F.col("count")
     functions = F.when(n > BUCKET_ROWS, F.greatest(F.lit(2), F.round(F.log(n / BUCKET_ROWS) / -math.log(FAR_TOGETHER)))).otherwise(2).cast("int")
     sizes = work.save(reps.groupBy("file").count().select("file", "count", functions.alias("functions")), "sizes")
     classes = sizes.groupBy("functions").agg(F.sum("count").alias("rows"), F.count("*").alias("files")).collect()
     plans = {r["functions"]: plan(r["functions"], least, recall) for r in classes}
-    sized = F.broadcast(sizes) if sum(r["files"] for r in classes) <= 10_000 else sizes
+    sized = F.broadcast(sizes) if sum(r["files"] for r in classes) <= FEW_FILES else sizes
     sized = reps.join(sized.select("file", "functions"), "file").select("id", "file", "vec", "functions")
     lanes = sized.mapInArrow(_hasher(plans), "bucket bigint, role int, id bigint, step float, error float, code binary")
     full = sized.mapInArrow(_home(plans), "bucket bigint").groupBy("bucket").count().filter(F.col("count") > block_rows)
@@ -408,14 +419,14 @@ def search(df: DataFrame, key: str, group: F.Column, vector: str, asked: F.Colum
     """
     spark = df.sparkSession
     work = Scratch(spark, "search")
-    good = work.save(usable_vectors(df, key, group, vector).select("id", F.xxhash64("grp").alias("file"), "vec"), "usable")
-    near = nearest(df, key, group, vector, k, least).filter(asked)
+    good = work.save(usable_vectors(df, key, group, vector, work), "usable")
+    near = _nearest(good, k, least, RECALL, BLOCK_ROWS, work).filter(asked)
     near = work.save(near, "near")
     full = near.groupBy("id").count().filter(F.col("count") >= k).select("id")
     queries = work.save(good.filter(asked).join(full, "id", "left_anti"), "queries")
     sizes = work.save(good.groupBy("file").agg(F.ceil(F.sum(F.size("vec")) / lane_values).cast("int").alias("lanes"), F.count("*").alias("rows")), "sizes")
     total = sizes.agg(F.count("*").alias("files"), F.sum("lanes").alias("lanes")).first()
-    sized = (F.broadcast(sizes) if total["files"] <= 10_000 else sizes).select("file", "lanes")
+    sized = (F.broadcast(sizes) if total["files"] <= FEW_FILES else sizes).select("file", "lanes")
     lane = F.xxhash64("file", "lane").alias("key")
     met = good.join(sized, "file").withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int")).select(lane, F.lit(0).alias("role"), "id", "vec")
     # A lane with very many queries is met in several tasks: its vectors go to each of them.
