@@ -341,6 +341,25 @@ def test_samples_without_spread_or_rows(spark):
     assert convergence.convergence_of(parts.limit(0), parts.select("v")).count() == 0
 
 
+def test_means_of_rounded_values_round_half_up_in_any_order(spark):
+    for cells in ([27263] * 6 + [27264] * 6, [1, 2], [3, 8, 2, 5, 9, 0], list(range(100, 112))):
+        want = (2 * sum(cells) + len(cells)) // (2 * len(cells)) / 1e6
+        rows = [(k, o, n / 1e6) for k in range(50) for o, n in enumerate(random.Random(k).sample(cells, len(cells)))]
+        df = spark.createDataFrame(rows, "k int, o int, v double").repartition(1).sortWithinPartitions("k", "o")
+        assert {r.m for r in df.groupBy("k").agg(convergence.mean_of_places("v").alias("m")).collect()} == {want}
+    odd = {"inf": [math.inf, 0.5], "huge": [1e30, 3e30], "null": [None, 0.25], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k string, v double")
+    assert {r.k: r.m for r in df.groupBy("k").agg(convergence.mean_of_places("v").alias("m")).collect()} == {"inf": math.inf, "huge": 2e30, "null": 0.25, "none": None}
+
+
+def test_convergence_of_means_between_two_places(spark):
+    """Twelve samples of one value each: their distances from the reference have a mean half-way between two places."""
+    rows = [(size, i, 1 + (size + i % 2) / 1e6) for size in range(27263, 27303, 3) for i in range(12)]
+    parts = spark.createDataFrame(rows, "sample_size int, repetition int, v double")
+    got = convergence.convergence_of(parts, spark.createDataFrame([(1.0,)], "v double")).collect()
+    assert {r.sample_size: r.wasserstein for r in got} == {size: (size + 1) / 1e6 for size in range(27263, 27303, 3)}
+
+
 def test_hot_values_keep_their_ranks(spark):
     df = spark.createDataFrame([(i, 1.0 if i % 3 else float(i), float(i % 7)) for i in range(300)], "id int, t double, p double")
     runs = [{r.statistic: r for r in metrics.bootstrap_interval(df, ["id"], "t", "p", 40, hot_rows=h).collect()} for h in (10, 10**9)]
